@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize as normalize_form
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The patterns below decide results.
 BLANK = r"[\s\x1C-\x1F]"  # used with (?U): what Python's strip() removes
@@ -42,17 +44,15 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", closed).otherwise(parts)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _fold_text(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, form="NFKC")
+    return pa.array([t and normalize_form("NFKC", t) for t in values.to_pylist()], pa.string())
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def _fold_texts(values: pa.Array) -> pa.Array:
-    flat = pc.utf8_normalize(pc.list_flatten(values), form="NFKC")
-    lengths = pc.fill_null(pc.list_value_length(values), 0)
-    offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(lengths).cast(pa.int32())])
-    return pa.ListArray.from_arrays(offsets, flat, mask=pc.is_null(values))
+    rows = [row and [t and normalize_form("NFKC", t) for t in row] for row in values.to_pylist()]
+    return pa.array(rows, pa.list_(pa.string()))
 
 
 def nfkc(text: Column) -> Column:

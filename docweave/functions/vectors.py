@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIM = 256
 PROVIDER = "builtin"
@@ -28,7 +29,7 @@ def _bucket(word: str) -> int:
     return bucket
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(T.ArrayType(T.FloatType()))
 def embed(texts: pa.Array) -> pa.Array:
     """Word counts hashed into DIM buckets, scaled to unit length; zeros for a wordless text."""
     vectors = np.zeros((len(texts), DIM), dtype=np.float64)

@@ -13,6 +13,7 @@ from docweave.config import effective_overlap
 from docweave.functions import text as tx
 from docweave.operators.cleaning import JOINER
 from docweave.operators.skew import running_before
+from docweave.operators.unfold import unfold
 
 # Separators of the recursive strategy, widest first.
 SEPARATORS = ["\n\n\n", "\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", ""]
@@ -263,7 +264,7 @@ def chunk_documents(
 
 def explode_chunks(docs: DataFrame, *keep: str) -> DataFrame:
     """One row per chunk with its page label."""
-    rows = docs.select(*keep, "strategy", F.explode("chunks").alias("c"))
+    rows = unfold(docs, "chunks", "c", *keep, "strategy")
     return rows.select(
         *keep,
         "strategy",

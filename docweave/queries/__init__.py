@@ -1 +1,4 @@
 """Registered queries with their SQL counterparts."""
+
+from docweave.queries import ingestion  # noqa: F401
+from docweave.queries.common import ORACLES, QUERIES  # noqa: F401
