@@ -113,3 +113,20 @@ def line_key(line: Column) -> Column:
 
 def is_page_number(line: Column) -> Column:
     return line.rlike(PAGE_NUMBER_LINE)
+
+
+def fixed3(number: Column) -> Column:
+    """A number below 8 with three decimals, rounded from its exact binary value, ties to even.
+
+    The JVM formatter rounds the shortest decimal form half up, which differs for ties.
+    """
+    one = 2**60
+    thousandths = (F.abs(number) * float(one)).cast("bigint").cast("decimal(20,0)") * F.lit(1000).cast("decimal(4,0)")
+    unit, half = (F.lit(str(v)).cast("decimal(20,0)") for v in (one, one // 2))
+    rest = thousandths % unit
+    whole = ((thousandths - rest) / unit).cast("bigint")
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    whole = whole + up.cast("int")
+    sign = F.when((number < 0) & (whole > 0), "-").otherwise("")
+    tail = F.lpad((whole % 1000).cast("string"), 3, "0")
+    return F.concat(sign, F.floor(whole / 1000).cast("string"), F.lit("."), tail)

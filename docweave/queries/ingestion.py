@@ -679,11 +679,8 @@ def i56_point_id(spark, folder):
 )
 def i57_replace_source(spark, folder):
     """Three sources are processed again: two with shorter results, one with none."""
-    windows = table(spark, folder, "documents").select(
-        "source",
-        "doc_id",
-        F.explode(chunking.window_starts(F.length("text"), SIZE, OVERLAP)).cast("bigint").alias("start"),
-    )
+    starts = chunking.window_starts(F.length("text"), SIZE, OVERLAP).cast("array<bigint>")
+    windows = unfold(table(spark, folder, "documents"), starts, "start", "source", "doc_id")
     key = F.concat_ws(":", "source", "doc_id", "start").alias("id")
     old = windows.select(key, "source", "doc_id", "start", F.lit("old").alias("version"))
     again = F.col("source").isin("src0", "src3")
