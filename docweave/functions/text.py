@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.functions.binding import let
+
 # The patterns below decide results.
 BLANK = r"[\s\x1C-\x1F]"  # used with (?U): what Python's strip() removes
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -39,9 +41,12 @@ def words(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their terminators; a final terminator opens no extra line."""
-    parts = F.split(text, LINE_END)
-    closed = F.slice(parts, 1, F.size(parts) - 1)
-    return F.when(F.element_at(parts, -1) == "", closed).otherwise(parts)
+    return let(
+        F.split(text, LINE_END),
+        lambda parts: F.when(
+            F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
+        ).otherwise(parts),
+    )
 
 
 @F.arrow_udf(T.StringType())
@@ -105,10 +110,12 @@ def normalize(text: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """Comparison form of a possible running head; null for blank and long lines."""
-    bare = strip(line)
-    size = F.length(bare)
-    masked = F.regexp_replace(F.lower(bare), r"(?U)\d+", "#")
-    return F.when((size > 0) & (size <= LONGEST_RUNNING_HEAD), masked)
+    return let(
+        strip(line),
+        lambda bare: F.when(
+            F.length(bare).between(1, LONGEST_RUNNING_HEAD), F.regexp_replace(F.lower(bare), r"(?U)\d+", "#")
+        ),
+    )
 
 
 def is_page_number(line: Column) -> Column:
@@ -116,17 +123,20 @@ def is_page_number(line: Column) -> Column:
 
 
 def fixed3(number: Column) -> Column:
-    """A number below 8 with three decimals, rounded from its exact binary value, ties to even.
+    """A number below 4 with three decimals, rounded from its exact binary value, ties to even.
 
     The JVM formatter rounds the shortest decimal form half up, which differs for ties.
     """
-    one = 2**60
-    thousandths = (F.abs(number) * float(one)).cast("bigint").cast("decimal(20,0)") * F.lit(1000).cast("decimal(4,0)")
+    one = 2**61
+    scaled = F.abs(number) * float(one // 2)
+    # The last bit records that something smaller was cut off.
+    bits = scaled.cast("bigint") * 2 + (scaled > F.floor(scaled)).cast("int")
+    thousandths = bits.cast("decimal(20,0)") * F.lit(1000).cast("decimal(4,0)")
     unit, half = (F.lit(str(v)).cast("decimal(20,0)") for v in (one, one // 2))
     rest = thousandths % unit
     whole = ((thousandths - rest) / unit).cast("bigint")
     up = (rest > half) | ((rest == half) & (whole % 2 == 1))
     whole = whole + up.cast("int")
-    sign = F.when((number < 0) & (whole > 0), "-").otherwise("")
+    sign = F.when(number < 0, "-").otherwise("")
     tail = F.lpad((whole % 1000).cast("string"), 3, "0")
     return F.concat(sign, F.floor(whole / 1000).cast("string"), F.lit("."), tail)

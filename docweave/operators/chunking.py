@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docweave.config import effective_overlap
 from docweave.functions import text as tx
+from docweave.functions.binding import let
 from docweave.operators.cleaning import JOINER
 from docweave.operators.skew import running_before
 from docweave.operators.unfold import unfold
@@ -160,10 +161,8 @@ def page_starts(pages: Column) -> Column:
 
 
 def page_at(starts: Column, offset: Column) -> Column:
-    at_or_before = F.filter(starts, lambda s: s["start"] <= offset)
-    return F.coalesce(
-        F.get(at_or_before, F.size(at_or_before) - 1)["number"], F.get(starts, F.lit(0))["number"]
-    )
+    at_or_before = F.filter(starts, lambda s: s["start"] <= F.greatest(offset, F.lit(0)))
+    return F.try_element_at(at_or_before, F.lit(-1))["number"]
 
 
 def page_label(start: Column, end: Column) -> Column:
@@ -186,13 +185,14 @@ def located(full: Column, chunks: Column, overlap: int) -> Column:
         ahead = _locate(chunk, full, acc["cursor"])
         anywhere = _locate(chunk, full, F.lit(0))
         probe = _locate(F.left(chunk, F.lit(PROBE_CHARS)), full, acc["cursor"])
-        pos = F.when(ahead >= 0, ahead).when(anywhere >= 0, anywhere).otherwise(probe)
-        moved = F.when(pos < 0, acc["cursor"]).otherwise(
-            pos + F.greatest(F.lit(1), F.length(chunk) - overlap)
-        )
-        return F.struct(
-            moved.alias("cursor"),
-            F.concat(acc["found"], F.array(F.struct(chunk.alias("text"), pos.alias("pos")))).alias("found"),
+        first = F.coalesce(F.when(ahead >= 0, ahead), F.when(anywhere >= 0, anywhere), probe)
+        step_on = F.greatest(F.lit(1), F.length(chunk) - overlap)
+        return let(
+            first,
+            lambda pos: F.struct(
+                F.when(pos < 0, acc["cursor"]).otherwise(pos + step_on).alias("cursor"),
+                F.concat(acc["found"], F.array(F.struct(chunk.alias("text"), pos.alias("pos")))).alias("found"),
+            ),
         )
 
     return F.aggregate(chunks, empty, step, lambda acc: acc["found"])
