@@ -13,6 +13,10 @@ from docweave.functions.binding import let
 
 # The patterns below decide results.
 BLANK = r"[\s\x1C-\x1F]"  # used with (?U): what Python's strip() removes
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)  # the same, character by character
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 HYPHEN_BREAK = r"(?U)([a-z])-\s*\n\s*([a-z])"
@@ -27,7 +31,7 @@ MAY_CHANGE_UNDER_NFKC = r"[^\x00-\x7F\x{C0}-\x{FF}]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def is_blank(text: Column) -> Column:

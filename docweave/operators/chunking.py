@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.config import effective_overlap
 from docweave.functions import text as tx
@@ -19,6 +21,7 @@ from docweave.operators.unfold import unfold
 # Separators of the recursive strategy, widest first.
 SEPARATORS = ["\n\n\n", "\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", ""]
 PROBE_CHARS = 60
+Splitter = Callable[[str, int, int], list[str]]
 STRATEGIES = ["recursive", "paragraph", "window"]
 
 
@@ -67,7 +70,7 @@ def split_recursive(text: str, size: int, overlap: int, level: int = 0) -> list[
 
 
 def recursive_chunks(text: Column, size: int, overlap: int) -> Column:
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf(T.ArrayType(T.StringType()))
     def split(texts: pa.Array) -> pa.Array:
         rows = [None if t is None else split_recursive(t, size, overlap) for t in texts.to_pylist()]
         return pa.array(rows, pa.list_(pa.string()))
@@ -123,9 +126,13 @@ def paragraph_chunks(text: Column, size: int, overlap: int) -> Column:
 
 def rejection(chunks: Column, source_length: Column, size: int) -> Column:
     """Why a set of chunks is unusable; null when it is fine."""
-    lengths = F.transform(chunks, lambda c: F.length(c))
+    return let(F.transform(chunks, lambda c: F.length(c)), lambda lengths: _rejection(chunks, lengths, source_length, size))
+
+
+def _rejection(chunks: Column, lengths: Column, source_length: Column, size: int) -> Column:
     longest = F.array_max(lengths)
     total = F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
+    share = F.bround(total * 100.0 / source_length).cast("int").cast("string")
     return (
         F.when(chunks.isNull(), F.lit("strategy unavailable"))
         .when(F.size(chunks) == 0, F.lit("produced zero chunks"))
@@ -133,12 +140,7 @@ def rejection(chunks: Column, source_length: Column, size: int) -> Column:
         .when(longest > 2 * size, F.format_string(f"longest chunk is %d chars (limit {2 * size})", longest))
         .when(
             (source_length > 0) & (total < source_length * 0.5),
-            F.format_string(
-                "retained only %d/%d chars (%s)",
-                total,
-                source_length,
-                F.concat(F.bround(total * 100.0 / source_length).cast("int").cast("string"), F.lit("%")),
-            ),
+            F.format_string("retained only %d/%d chars (%s)", total, source_length, F.concat(share, F.lit("%"))),
         )
     )
 
@@ -174,90 +176,114 @@ def page_label(start: Column, end: Column) -> Column:
     )
 
 
-def located(full: Column, chunks: Column, overlap: int) -> Column:
-    """array<struct<text, pos>>: each chunk is searched from a cursor, then from the beginning,
-    then by its first characters from the cursor; pos is -1 when all fail."""
-    empty = F.struct(
-        F.lit(0).alias("cursor"), F.array().cast("array<struct<text:string,pos:int>>").alias("found")
-    )
+def positions(full: Column, chunks: Column, overlap: int) -> Column:
+    """Where each chunk lies in the text, -1 if nowhere.
 
-    def step(acc: Column, chunk: Column) -> Column:
-        ahead = _locate(chunk, full, acc["cursor"])
-        anywhere = _locate(chunk, full, F.lit(0))
-        probe = _locate(F.left(chunk, F.lit(PROBE_CHARS)), full, acc["cursor"])
-        first = F.coalesce(F.when(ahead >= 0, ahead), F.when(anywhere >= 0, anywhere), probe)
-        step_on = F.greatest(F.lit(1), F.length(chunk) - overlap)
-        return let(
-            first,
-            lambda pos: F.struct(
-                F.when(pos < 0, acc["cursor"]).otherwise(pos + step_on).alias("cursor"),
-                F.concat(acc["found"], F.array(F.struct(chunk.alias("text"), pos.alias("pos")))).alias("found"),
-            ),
-        )
+    A chunk is searched from a cursor that follows the chunk before, then from the beginning, then
+    by its first characters from the cursor.
+    """
 
-    return F.aggregate(chunks, empty, step, lambda acc: acc["found"])
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def find(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = []
+        for text, parts in zip(texts.to_pylist(), lists.to_pylist()):
+            found, cursor = [], 0
+            for part in parts or ():
+                tries = ((part, cursor), (part, 0), (part[:PROBE_CHARS], cursor))
+                at = next((p for p in (text.find(*t) for t in tries) if p >= 0), -1)
+                found.append(at)
+                if at >= 0:
+                    cursor = at + max(1, len(part) - overlap)
+            rows.append(found)
+        return pa.array(rows, pa.list_(pa.int32()))
 
+    return find(full, chunks)
 
-def _locate(part: Column, full: Column, start: Column) -> Column:
-    return F.call_function("locate", part, full, start + 1) - 1
+
+def _with_recursive(docs: DataFrame, size: int, overlap: int, splitter: Splitter | None) -> DataFrame:
+    """Adds the joined text and what the splitter makes of it; null where the splitter fails.
+
+    As a partition-wise pass this also ends the projections before it, which the optimizer would
+    otherwise copy into every use of the text below.
+    """
+    joined = docs.withColumn("_full", F.array_join(F.transform("pages", lambda p: p["text"]), JOINER))
+    schema = T.StructType(joined.schema.fields + [T.StructField("_recursive", T.ArrayType(T.StringType()))])
+
+    def attempt(text: str | None) -> list[str] | None:
+        if splitter is None or not (text or "").strip():
+            return None
+        try:
+            return splitter(text, size, overlap)
+        except Exception:  # a failing strategy gives way to the next one
+            return None
+
+    def split(batches):
+        for batch in batches:
+            rows = [attempt(text) for text in batch.column("_full").to_pylist()]
+            yield batch.append_column("_recursive", pa.array(rows, pa.list_(pa.string())))
+
+    return joined.mapInArrow(split, schema)
 
 
 def chunk_documents(
-    docs: DataFrame, size: int = 1400, overlap: int = 200, min_chars: int = 120, recursive=recursive_chunks
+    docs: DataFrame,
+    size: int = 1400,
+    overlap: int = 200,
+    min_chars: int = 120,
+    splitter: Splitter | None = split_recursive,
 ) -> DataFrame:
     """Adds `strategy` and `chunks ARRAY<STRUCT<index, text, page_start, page_end, char_count>>`.
 
-    The first strategy whose output validates is taken; `recursive` may be replaced, and one that
-    yields null counts as unavailable. The narrower strategies are built only where needed.
+    The first strategy whose output validates is taken; `splitter` may be replaced or missing. The
+    narrower strategies are built only where needed.
     """
     overlap = effective_overlap(size, overlap)
-    joined = docs.withColumn("_full", F.array_join(F.transform("pages", lambda p: p["text"]), JOINER))
+    tried = _with_recursive(docs, size, overlap, splitter)
     full, length = F.col("_full"), F.length("_full")
-    tried = joined.withColumn("_recursive", recursive(F.when(~tx.is_blank(full), full), size, overlap))
-    first_ok = rejection(F.col("_recursive"), length, size).isNull()
-    tried = tried.withColumn("_first_ok", first_ok & ~tx.is_blank(full))
-    tried = tried.withColumn(
-        "_paragraph",
-        F.when(~F.col("_first_ok") & ~tx.is_blank(full), paragraph_chunks(full, size, overlap)),
+    text = F.when(~tx.is_blank(full), full)
+
+    def accepted(name: str):
+        return lambda chunks: F.when(
+            rejection(chunks, length, size).isNull(),
+            F.struct(F.lit(name).alias("strategy"), chunks.alias("chunks")),
+        )
+
+    nothing = F.struct(F.lit("none").alias("strategy"), F.array().cast("array<string>").alias("chunks"))
+    choice = F.coalesce(
+        let(F.col("_recursive"), accepted("recursive")),
+        let(paragraph_chunks(text, size, overlap), accepted("paragraph")),
+        let(window_chunks(text, size, overlap), accepted("window")),
+        nothing,
     )
-    second_ok = rejection(F.col("_paragraph"), length, size).isNull()
-    tried = tried.withColumn("_second_ok", second_ok)
-    tried = tried.withColumn(
-        "_window",
-        F.when(
-            ~F.col("_first_ok") & ~F.col("_second_ok") & ~tx.is_blank(full), window_chunks(full, size, overlap)
+    trimmed = let(
+        choice,
+        lambda c: F.struct(
+            c["strategy"].alias("strategy"),
+            F.filter(F.transform(c["chunks"], tx.strip), lambda t: F.length(t) >= min_chars).alias("kept"),
         ),
     )
-    third_ok = rejection(F.col("_window"), length, size).isNull()
-    chosen = tried.withColumn(
-        "strategy",
-        F.when(F.col("_first_ok"), F.lit("recursive"))
-        .when(F.col("_second_ok"), F.lit("paragraph"))
-        .when(third_ok, F.lit("window"))
-        .otherwise(F.lit("none")),
-    ).withColumn(
-        "_raw",
-        F.when(F.col("strategy") == "recursive", F.col("_recursive"))
-        .when(F.col("strategy") == "paragraph", F.col("_paragraph"))
-        .when(F.col("strategy") == "window", F.col("_window"))
-        .otherwise(F.array().cast("array<string>")),
-    )
-    kept = chosen.withColumn(
-        "_kept", F.filter(F.transform("_raw", tx.strip), lambda c: F.length(c) >= min_chars)
+    kept = tried.withColumn("_choice", trimmed).withColumns(
+        {"strategy": F.col("_choice.strategy"), "_kept": F.col("_choice.kept")}
     )
-    placed = kept.withColumn("_placed", located(full, F.col("_kept"), overlap)).withColumn(
+    placed = kept.withColumn("_at", positions(full, F.col("_kept"), overlap)).withColumn(
         "_starts", page_starts(F.col("pages"))
     )
-    attributed = F.transform(
-        "_placed",
-        lambda c, i: F.struct(
-            i.alias("index"),
-            c["text"].alias("text"),
-            F.when(c["pos"] >= 0, page_at(F.col("_starts"), c["pos"])).alias("page_start"),
-            F.when(c["pos"] >= 0, page_at(F.col("_starts"), c["pos"] + F.length(c["text"]) - 1)).alias("page_end"),
-            F.length(c["text"]).alias("char_count"),
-        ),
-    )
+
+    def page(offset: Column, at: Column) -> Column:
+        return F.when(at >= 0, page_at(F.col("_starts"), offset))
+
+    def chunk(text: Column, at: Column, index: Column) -> Column:
+        return F.struct(
+            index.alias("index"),
+            text.alias("text"),
+            page(at, at).alias("page_start"),
+            page(at + F.length(text) - 1, at).alias("page_end"),
+            F.length(text).alias("char_count"),
+        )
+
+    # Results of Python functions are handed to lambdas as arguments: inside one they cannot run.
+    paired = F.zip_with("_kept", "_at", lambda text, at: F.struct(text.alias("text"), at.alias("at")))
+    attributed = F.transform(paired, lambda c, i: chunk(c["text"], c["at"], i))
     helpers = [c for c in placed.columns if c.startswith("_")]
     return placed.withColumn("chunks", attributed).drop(*helpers)
 

@@ -110,12 +110,11 @@ def normalize_pages(docs: DataFrame) -> DataFrame:
     folded = docs.withColumn("_folded", tx.nfkc_each(F.transform("pages", lambda p: p["text"])))
     repaired = folded.withColumn(
         "pages",
-        F.transform(
+        F.zip_with(
             "pages",
-            lambda p, i: F.struct(
-                p["number"].alias("number"),
-                tx.repair(F.get(F.col("_folded"), i)).alias("text"),
-                p["extractor"].alias("extractor"),
+            "_folded",
+            lambda p, text: F.struct(
+                p["number"].alias("number"), tx.repair(text).alias("text"), p["extractor"].alias("extractor")
             ),
         ),
     )

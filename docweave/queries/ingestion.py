@@ -459,7 +459,7 @@ def i42_validation(spark, folder):
 def chunked_documents(spark, folder):
     """Cleaned and chunked paged documents."""
     return chunking.chunk_documents(
-        cleaning.profile(cleaning.clean_pages(paged_documents(spark, folder))), SIZE, OVERLAP, MIN_CHARS
+        cleaning.clean_pages(paged_documents(spark, folder)), SIZE, OVERLAP, MIN_CHARS
     )
 
 
@@ -467,10 +467,10 @@ def chunked_documents(spark, folder):
 def i43_chunk_cascade(spark, folder):
     """The strategy chosen per document when the first one is unavailable for some."""
     def sometimes(text, size, overlap):
-        return chunking.recursive_chunks(F.when(F.crc32(text) % 2 == 0, text), size, overlap)
+        return None if len(text) % 2 else chunking.split_recursive(text, size, overlap)
 
     docs = cleaning.clean_pages(paged_documents(spark, folder))
-    chunked = chunking.chunk_documents(docs, SIZE, OVERLAP, MIN_CHARS, recursive=sometimes)
+    chunked = chunking.chunk_documents(docs, SIZE, OVERLAP, MIN_CHARS, splitter=sometimes)
     return chunked.select("filename", "strategy", F.size("chunks").alias("n_chunks"))
 
 

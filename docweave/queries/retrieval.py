@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docweave.functions import ids
 from docweave.functions import vectors as vx
 from docweave.operators import agent, chunking, embedding, ranking, store
-from docweave.operators.search import top_k
+from docweave.operators.search import search, top_k
 from docweave.operators.unfold import unfold
 from docweave.queries.common import query, sql_strip, table
 from docweave.queries.ingestion import MIN_CHARS, OVERLAP, SIZE, STEP, WINDOWS_SQL
@@ -345,14 +345,13 @@ def candidates(spark, folder, k=20):
     """(qid, question, id, source, chunk_index, page_label, content, score, rank)."""
     points = store.with_defaults(window_points(spark, folder))
     asked = questions(spark, folder)
-    found = top_k(
+    found = search(
         asked.select("qid", vx.embed(F.col("question")).alias("vector")),
-        points.select("id", vx.embed(F.col("content")).alias("vector")),
+        points.drop("doc_id").withColumn("vector", vx.embed(F.col("content"))),
         vx.DIM,
         k,
     )
-    with_text = found.join(points.drop("doc_id"), "id")
-    return with_text.join(asked, "qid")
+    return found.join(asked, "qid")
 
 
 SEARCH_SQL = f"""
