@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.operators.skew import with_key_facts
+from docweave.session import written
 
 
 def canonical_names(files: DataFrame, hash_column: str, name: str = "name") -> DataFrame:
-    """Adds `canonical` and `is_duplicate`: the shortest, then alphabetically first name of a
-    group of equal hashes is kept. A file without a hash (unreadable) is its own group."""
-    keyed = files.withColumn(
+    """(name, hash, canonical, is_duplicate): the shortest, then alphabetically first name of a
+    group of equal hashes is kept. A file without a hash (unreadable) is its own group.
+
+    Names and hashes are written once, so that the contents are read and hashed only once.
+    """
+    slim = written(files.select(name, hash_column), "hashes")
+    keyed = slim.withColumn(
         "_group", F.coalesce(F.col(hash_column), F.concat(F.lit("unhashable:"), F.col(name)))
     )
     best = F.struct(F.length(name).alias("size"), F.col(name).alias("name"))
@@ -23,7 +28,7 @@ def canonical_names(files: DataFrame, hash_column: str, name: str = "name") -> D
 
 
 def content_status(records: DataFrame) -> DataFrame:
-    """Status of each readable document after content comparison.
+    """(filename, content_hash, status, duplicate_of) of readable documents after comparison.
 
     Processing files one by one in any order and demoting twins ends with exactly the canonical
     name of every content as 'ok', which is the minimum per hash.

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,8 +26,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, *columns: str, heavy: bool = False) -> DataFrame:
+    """A given table; `heavy` spreads a small one over all cores for costly work per row."""
+    found = spark.read.parquet(f"{folder}/{name}.parquet")
+    found = found.select(*columns) if columns else found
+    return spread(found) if heavy else found
 
 
 # SQL pieces. WS is what Python's strip() removes, as an RE2 class.
@@ -62,7 +67,7 @@ LINES_PER_PAGE = 3
 
 def paged_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as files of several pages: three lines each, with a running head and a page number."""
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents", "doc_id", "text", "source", "lang", heavy=True)
     rows = F.split("text", "\n")
     total = F.ceil(F.size(rows) / LINES_PER_PAGE).cast("int")
     page = F.transform(

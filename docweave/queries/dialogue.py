@@ -42,7 +42,7 @@ def talk(spark, folder):
         .when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(41)) == 0, F.repeat("text", F.lit(60)))
         .otherwise(F.concat(opening, "text"))
     )
-    return table(spark, folder, "conversations").select(
+    return table(spark, folder, "conversations", "conv_id", "turn", "text", heavy=True).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", text.alias("text")
     )
 

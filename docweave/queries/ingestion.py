@@ -98,7 +98,7 @@ def _sql_html_text(x: str) -> str:
     SELECT page_id, CAST(len(ls) AS BIGINT) AS n_lines, md5(array_to_string(ls, chr(10))) AS text_md5 FROM kept""",
 )
 def i04_html_text(spark, folder):
-    text = table(spark, folder, "pages").withColumn("t", html.html_text(F.col("html")))
+    text = table(spark, folder, "pages", "page_id", "html", heavy=True).withColumn("t", html.html_text(F.col("html")))
     return text.select("page_id", F.size(tx.lines(F.col("t"))).cast("bigint").alias("n_lines"), F.md5("t").alias("text_md5"))
 
 
@@ -134,7 +134,7 @@ def _tier_rows(spark, folder):
 )
 def i08_tier_cascade(spark, folder):
     return tiers.cascade(_tier_rows(spark, folder)).select(
-        "doc", "page", F.md5("text").alias("text_md5"), "extractor"
+        "doc", F.col("page").cast("bigint").alias("page"), F.md5("text").alias("text_md5"), "extractor"
     )
 
 
@@ -273,7 +273,7 @@ def _clean_steps_sql():
 
 @query("i28_32_repair_steps", _clean_steps_sql())
 def i28_32_repair_steps(spark, folder):
-    bad = table(spark, folder, "documents").select("doc_id", damaged(F.col("text")).alias("t"))
+    bad = table(spark, folder, "documents", "doc_id", "text", heavy=True).select("doc_id", damaged(F.col("text")).alias("t"))
     t = F.col("t")
     return bad.select(
         "doc_id",
@@ -293,7 +293,7 @@ def i28_32_repair_steps(spark, folder):
 )
 def i34_normalize(spark, folder):
     """All repairs in order; compatibility folding turns a no-break space into a space."""
-    fixed = table(spark, folder, "documents").select("doc_id", tx.normalize(damaged(F.col("text"))).alias("t"))
+    fixed = table(spark, folder, "documents", "doc_id", "text", heavy=True).select("doc_id", tx.normalize(damaged(F.col("text"))).alias("t"))
     return fixed.select("doc_id", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
@@ -348,7 +348,7 @@ def i36_running_heads(spark, folder):
     pages = unfold(cleaned, "pages", "p", "filename")
     kept = F.when(F.col("p.text") == "", 0).otherwise(F.size(F.split("p.text", "\n")))
     return pages.select(
-        "filename", "p.number", kept.cast("bigint").alias("n_lines"), F.md5("p.text").alias("text_md5")
+        "filename", F.col("p.number").cast("bigint").alias("number"), kept.cast("bigint").alias("n_lines"), F.md5("p.text").alias("text_md5")
     )
 
 
@@ -367,7 +367,7 @@ def i38_clean_pages(spark, folder):
     pages = unfold(cleaning.clean_pages(paged_documents(spark, folder)), "pages", "p", "filename")
     return pages.select(
         "filename",
-        "p.number",
+        F.col("p.number").cast("bigint").alias("number"),
         F.length("p.text").cast("bigint").alias("n_chars"),
         F.md5("p.text").alias("text_md5"),
     )
@@ -565,7 +565,7 @@ def i52_byte_duplicates(spark, folder):
 )
 def i53_content_duplicates(spark, folder):
     """Files that differ as bytes and agree after text repair."""
-    records = table(spark, folder, "documents").select(
+    records = table(spark, folder, "documents", "doc_id", "text", heavy=True).select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
         ids.content_hash(tx.normalize(F.col("text"))).alias("content_hash"),
     )
@@ -584,7 +584,7 @@ def i53_content_duplicates(spark, folder):
 def i54_chunk_duplicates(spark, folder):
     head = F.substring("text", 1, 60)
     t = F.concat(head, F.col("text"), F.rpad(head, 60, " "))
-    docs = table(spark, folder, "documents").select("doc_id", t.alias("t"))
+    docs = table(spark, folder, "documents", "doc_id", "text", heavy=True).select("doc_id", t.alias("t"))
     pieces = F.transform(
         F.sequence(F.lit(0), F.floor(F.length("t") / 60).cast("int")),
         lambda k: F.struct(k.alias("index"), F.col("t").substr(k * 60 + 1, F.lit(60)).alias("text")),

@@ -27,7 +27,7 @@ def i66_cache_key(spark, folder):
 
 
 def _texts(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return table(spark, folder, "documents", "doc_id", "text", heavy=True)
 
 
 def _cached(spark, folder):
@@ -282,7 +282,7 @@ def i78_top_k_floor(spark, folder):
 
 def window_points(spark, folder):
     """Window chunks as rows of the vector table, without vectors."""
-    docs = table(spark, folder, "documents").select(
+    docs = table(spark, folder, "documents", "doc_id", "text", heavy=True).select(
         "doc_id",
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"),
         F.filter(

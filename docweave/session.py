@@ -51,6 +51,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where an input of few splits feeds work that is heavy per row.
+
+    An input with at least as many splits as cores, as any large table has, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fan_out(spark: SparkSession) -> int:
     """Into how many parts a hot key is split: as many as there are shuffle partitions."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
