@@ -189,9 +189,8 @@ def _records(names, documents, judged, chunked, demoted, state, backend, modes)
         {"status": F.lit("duplicate"), "duplicate_of": F.col("_twin"), "points": F.lit(0)}
     ).drop("_twin")
     columns = [f.name for f in manifest.SCHEMA.fields]
-    return (
-        processed.unionByName(copies, allowMissingColumns=True).select(columns).unionByName(demotions.select(columns))
-    )
+    every = processed.unionByName(copies, allowMissingColumns=True).select(columns)
+    return every.unionByName(demotions.select(columns)).fillna(manifest.DEFAULTS)
 
 
 def main(argv: list[str]) -> int:
