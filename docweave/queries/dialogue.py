@@ -216,8 +216,8 @@ SELECT conv_id, turn, n AS n_messages, awaiting, rounds FROM state"""
 def i101_clarification(spark, folder):
     """Waiting and rounds after each turn, from two minima per thread."""
     turns = _turns(table(spark, folder, "conversations"))
-    counted = history.message_counts(turns)
-    return history.clarification_state(counted).select("conv_id", "turn", "n_messages", "awaiting", "rounds")
+    counted = history.message_counts(history.clarification_state(turns))
+    return counted.select("conv_id", "turn", "n_messages", "awaiting", "rounds")
 
 
 @query("i121_thread_stream", CLARIFY_SQL)

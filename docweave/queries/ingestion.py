@@ -476,8 +476,8 @@ def i43_chunk_cascade(spark, folder):
 
 SOURCE_PAGES_SQL = """
 source_pages AS (
-  SELECT source AS doc, doc_id AS number, length(text) AS n_chars,
-         CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id
+  SELECT source AS doc, doc_id AS number, n_chars,
+         CAST(coalesce(sum(n_chars + 2) OVER (PARTITION BY source ORDER BY doc_id
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_offset
   FROM documents)"""
 
@@ -485,7 +485,7 @@ source_pages AS (
 def _source_pages(spark, folder):
     """Each source as one very long document whose pages are its texts."""
     return table(spark, folder, "documents").select(
-        F.col("source").alias("doc"), F.col("doc_id").alias("number"), F.length("text").cast("bigint").alias("n_chars")
+        F.col("source").alias("doc"), F.col("doc_id").alias("number"), "n_chars"
     )
 
 
@@ -671,15 +671,17 @@ def i56_point_id(spark, folder):
 @query(
     "i57_replace_source",
     f"""
-    WITH {WINDOWS_SQL},
-    old AS (SELECT source, doc_id, start, 'old' AS version FROM windows JOIN documents USING (doc_id)),
-    fresh AS (SELECT source, doc_id, start, 'new' AS version FROM windows JOIN documents USING (doc_id)
+    WITH starts AS (
+      SELECT source, doc_id, {STEP} * unnest(generate_series(0, greatest(0, CAST(ceil((n_chars - {SIZE}) / {STEP}.0) AS BIGINT)))) AS start
+      FROM documents),
+    old AS (SELECT source, doc_id, start, 'old' AS version FROM starts),
+    fresh AS (SELECT source, doc_id, start, 'new' AS version FROM starts
               WHERE source IN ('src0', 'src3') AND start < {STEP * 2})
     SELECT * FROM old WHERE source NOT IN ('src0', 'src3', 'src7') UNION ALL SELECT * FROM fresh""",
 )
 def i57_replace_source(spark, folder):
     """Three sources are processed again: two with shorter results, one with none."""
-    starts = chunking.window_starts(F.length("text"), SIZE, OVERLAP).cast("array<bigint>")
+    starts = chunking.window_starts(F.col("n_chars"), SIZE, OVERLAP).cast("array<bigint>")
     windows = unfold(table(spark, folder, "documents"), starts, "start", "source", "doc_id")
     key = F.concat_ws(":", "source", "doc_id", "start").alias("id")
     old = windows.select(key, "source", "doc_id", "start", F.lit("old").alias("version"))
