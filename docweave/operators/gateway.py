@@ -55,20 +55,22 @@ def answered_by(calls: DataFrame, request: str = "request_id") -> DataFrame:
     retryable error; the first answer in order wins. A request's calls are few (targets x 2), and
     are reduced before the shuffle.
     """
-    outcome = F.when(F.col("message").isNull(), F.lit("ok")).otherwise(error_class(F.col("message")))
+    # Whole numbers aggregate in a hash table: 0 answered, 1 worth a second try, 2 next target.
+    failed = F.when(error_class(F.col("message")) == "retryable", 1).otherwise(2)
+    outcome = F.when(F.col("message").isNull(), 0).otherwise(failed)
     per_target = (
         calls.where(F.col("attempt") <= TRIES_PER_TARGET)
-        .withColumn("outcome", outcome)
+        .select(request, "position", "attempt", outcome.alias("outcome"))
         .groupBy(request, "position")
         .agg(
             F.max(F.when(F.col("attempt") == 1, F.col("outcome"))).alias("first"),
             F.max(F.when(F.col("attempt") == 2, F.col("outcome"))).alias("second"),
         )
     )
-    retried = F.col("first") == "retryable"
+    retried = F.col("first") == 1
     settled = per_target.withColumns(
         {
-            "ok": (F.col("first") == "ok") | (retried & F.coalesce(F.col("second") == "ok", F.lit(False))),
+            "ok": (F.col("first") == 0) | (retried & F.coalesce(F.col("second") == 0, F.lit(False))),
             "tries": F.when(retried, 2).otherwise(1),
         }
     )

@@ -571,12 +571,11 @@ def i125_target_chain(spark, folder):
     "i126_fallback",
     """
     WITH calls AS (SELECT l_orderkey AS r, l_linenumber AS pos, a,
-        CASE WHEN CASE WHEN a = 1 THEN l_partkey % 4 ELSE l_suppkey % 2 END = 0 THEN 'ok'
-             WHEN a = 1 AND l_partkey % 4 = 1 THEN 'retryable' WHEN a = 1 AND l_partkey % 4 = 2 THEN 'fatal'
-             WHEN a = 1 THEN 'unknown' ELSE 'retryable' END AS o
+        CASE WHEN CASE WHEN a = 1 THEN l_partkey % 4 ELSE l_suppkey % 2 END = 0 THEN 0
+             WHEN a = 2 OR l_partkey % 4 = 1 THEN 1 ELSE 2 END AS o
       FROM lineitem, (VALUES (1), (2)) v(a)),
     t AS (SELECT r, pos, max(o) FILTER (a = 1) AS one, max(o) FILTER (a = 2) AS two FROM calls GROUP BY r, pos),
-    s AS (SELECT r, pos, one = 'ok' OR (one = 'retryable' AND two = 'ok') AS ok, CASE WHEN one = 'retryable' THEN 2 ELSE 1 END AS tries FROM t),
+    s AS (SELECT r, pos, one = 0 OR (one = 1 AND two = 0) AS ok, CASE WHEN one = 1 THEN 2 ELSE 1 END AS tries FROM t),
     f AS (SELECT r, min(pos) FILTER (ok) AS position, min(pos) AS first FROM s GROUP BY r)
     SELECT f.r AS request_id, position, CAST(sum(tries) FILTER (position IS NULL OR pos <= position) AS INT) AS attempts,
            coalesce(position > first, false) AS fallback_used, position IS NULL AS failed
