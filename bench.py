@@ -7,7 +7,7 @@ import os
 import time
 
 from docweave.queries import QUERIES
-from docweave.session import local_session
+from docweave.session import local_session, ship
 
 HEADLINE = [
     "i04_html_text", "i21_doc_profile", "i34_normalize", "i36_running_heads", "i38_clean_pages",
@@ -24,6 +24,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores, shuffle_partitions=int(cores))
+    ship(spark)
     spark.range(1000).selectExpr("sum(id)").collect()
     times = {}
     for name in HEADLINE:

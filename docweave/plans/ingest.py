@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docweave.config import Settings
 from docweave.operators import chunking, cleaning, dedup, embedding, manifest, store
-from docweave.session import written
+from docweave.session import ship, written
 from docweave.sources import files as fs
 from docweave.sources import html, json_state, office
 
@@ -199,6 +199,7 @@ def main(argv: list[str]) -> int:
         a for a in argv if not a.startswith("--")
     ]
     spark = SparkSession.builder.appName("ingest").getOrCreate()
+    ship(spark)
     modes = Modes("--wipe" in flags, "--force" in flags, "--dry-run" in flags)
     code, state = run(spark, fs.discover(spark, folder), store_path, manifest_path, modes)
     manifest.summary(state).show()

@@ -6,10 +6,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+import docweave
 from docweave.session import ROCKSDB, shared_folder
 from docweave.streaming.folds import output_schema
 
@@ -42,12 +44,15 @@ def apply(stream: DataFrame, shard: str, order: list[str], machine: Callable, st
     """The streaming twin of `folds.fold`. Events of a shard must arrive in order of micro-batches."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = output_schema(stream, added)
-    return stream.groupBy(shard).transformWithStateInPandas(
-        MachineProcessor(machine, step, order, [f.name for f in schema.fields]),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="None",
-    )
+    processor = MachineProcessor(machine, step, order, [f.name for f in schema.fields])
+    # The worker that sets up the state does not see added Python files: send the code itself.
+    cloudpickle.register_pickle_by_value(docweave)
+    try:
+        return stream.groupBy(shard).transformWithStateInPandas(
+            processor, outputStructType=schema, outputMode="Append", timeMode="None"
+        )
+    finally:
+        cloudpickle.unregister_pickle_by_value(docweave)
 
 
 def drained(result: DataFrame, name: str) -> DataFrame:
