@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,3 +128,18 @@ def mistakes(results: DataFrame, *columns: str) -> DataFrame:
 
 def metric_mean(frame: DataFrame, metric: str) -> DataFrame:
     return frame.agg(F.avg(metric).alias("mean"), F.count(metric).alias("samples"))
+
+
+def judge(samples: DataFrame, metrics: dict[str, Callable[[], Column]]) -> DataFrame:
+    """Adds one score column per metric of judged samples.
+
+    A metric is a function that gives a column (usually an Arrow UDF that asks a judge model). One
+    that cannot be set up, such as for a missing model, leaves its column null and the others alone.
+    """
+    for name, metric in metrics.items():
+        try:
+            score = metric().cast("double")
+        except Exception:
+            score = F.lit(None).cast("double")
+        samples = samples.withColumn(name, score)
+    return samples

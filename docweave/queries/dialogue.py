@@ -51,7 +51,7 @@ def _re2(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-def _sql_rails():
+def _sql_rails(source="talk"):
     cases = []
     for category, patterns in rules.SCREENING:
         for number, pattern in enumerate(patterns, 1):
@@ -64,7 +64,7 @@ def _sql_rails():
     domain = " OR ".join(f"regexp_matches(t, '(?i){_re2(p)}')" for p in rules.DOMAIN_TERMS)
     return f"""
     WITH {TALK_SQL},
-    checked AS (SELECT id, t, {domain} AS domain FROM (SELECT id, {sql_strip("text")} AS t FROM talk)),
+    checked AS (SELECT id, t, {domain} AS domain FROM (SELECT id, {sql_strip("text")} AS t FROM {source})),
     ruled AS (SELECT id, CASE WHEN t = '' THEN 'off_topic:empty_input'
                      WHEN length(t) > {rules.LONGEST_MESSAGE} THEN 'injection:length_limit' {' '.join(cases)} END AS r
               FROM checked)
@@ -103,11 +103,42 @@ def _renamed(sql, prefix):
     return sql
 
 
+SHORT_SQL = f"""
+short AS (SELECT id, CASE WHEN id % 4 = 0 THEN e[CAST(id % len(e) AS INT) + 1] || ' now' ELSE text END AS text
+          FROM talk, (SELECT list(t ORDER BY n) AS e FROM (VALUES {EXAMPLE_ROWS}) v(n, i, t)))"""
+
+
+def _short(spark, folder):
+    """Every fourth message is close to one of the examples."""
+    examples = [t for texts in rails.EXAMPLES.values() for t in texts]
+    own = F.get(F.array(*[F.lit(e) for e in examples]), F.pmod("id", F.lit(len(examples))).cast("int"))
+    text = F.when(F.pmod("id", F.lit(4)) == 0, F.concat(own, F.lit(" now"))).otherwise(F.col("text"))
+    return talk(spark, folder).select("id", text.alias("text"))
+
+
+@query(
+    "i110_two_tiers",
+    f"""
+    {_sql_rails("short").replace("checked AS", SHORT_SQL.strip() + ", checked AS", 1).replace("SELECT id, r IS NOT NULL AS fired, split_part(r, ':', 1) AS category, split_part(r, ':', 2) AS rule FROM ruled", "")},
+    ex AS (SELECT * FROM (VALUES {EXAMPLE_ROWS}) v(n, intent, t)),
+    {_renamed(sql_vectors("short", "id", "text"), "m")}, {_renamed(sql_vectors("ex", "n", "t"), "e")},
+    scored AS (SELECT m.id, e.id AS n, round(sum(m.x * e.x), 8) AS score FROM mvec m JOIN evec e USING (b) GROUP BY ALL),
+    best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, n) AS place FROM scored),
+    near AS (SELECT best.id, intent FROM best JOIN ex USING (n) WHERE place = 1 AND score >= {rails.EXAMPLE_FLOOR})
+    SELECT ruled.id, r IS NOT NULL OR intent IS NOT NULL AS fired,
+           CASE WHEN r IS NOT NULL THEN split_part(r, ':', 1) WHEN intent IS NOT NULL THEN 'example' END AS category,
+           CASE WHEN r IS NULL AND intent IS NOT NULL THEN 'example' ELSE 'fast' END AS tier
+    FROM ruled LEFT JOIN near ON near.id = ruled.id""",
+)
+def i110_two_tiers(spark, folder):
+    """Rules first, then the nearest example for what they let pass."""
+    return rails.screen(_short(spark, folder), "full").select("id", "fired", "category", "tier")
+
+
 @query(
     "i111_nearest_example",
     f"""
-    WITH {TALK_SQL}, short AS (SELECT id, CASE WHEN id % 4 = 0 THEN e[CAST(id % len(e) AS INT) + 1] || ' now' ELSE text END AS text
-        FROM talk, (SELECT list(t ORDER BY n) AS e FROM (VALUES {EXAMPLE_ROWS}) v(n, i, t))),
+    WITH {TALK_SQL}, {SHORT_SQL},
     ex AS (SELECT * FROM (VALUES {EXAMPLE_ROWS}) v(n, intent, t)),
     {_renamed(sql_vectors("short", "id", "text"), "m")}, {_renamed(sql_vectors("ex", "n", "t"), "e")},
     scored AS (SELECT m.id, e.id AS n, round(sum(m.x * e.x), 8) AS score FROM mvec m JOIN evec e USING (b) GROUP BY ALL),
@@ -116,10 +147,7 @@ def _renamed(sql, prefix):
 )
 def i111_nearest_example(spark, folder):
     """Second tier: messages close to an example of an intent."""
-    examples = [t for texts in rails.EXAMPLES.values() for t in texts]
-    own = F.get(F.array(*[F.lit(e) for e in examples]), F.pmod("id", F.lit(len(examples))).cast("int"))
-    text = F.when(F.pmod("id", F.lit(4)) == 0, F.concat(own, F.lit(" now"))).otherwise(F.col("text"))
-    found = rails.nearest_example(talk(spark, folder).select("id", text.alias("text")))
+    found = rails.nearest_example(_short(spark, folder))
     return found.select("id", "intent", F.round("score", 5).alias("score"))
 
 

@@ -537,6 +537,14 @@ def i51_chunk_documents(spark, folder):
     )
 
 
+@query("i65_snapshots")
+def i65_snapshots(spark, folder):
+    """What was parsed and chunked, as one JSON row per file."""
+    docs = chunked_documents(spark, folder).withColumn("loader", F.lit("text"))
+    rows = json_state.snapshot_rows(cleaning.profile(docs))
+    return rows.select("filename", F.to_json(F.struct(*[c for c in rows.columns if c != "filename"])).alias("snapshot"))
+
+
 # Deduplication
 
 

@@ -288,3 +288,14 @@ def test_backends():
         pass
     else:
         raise AssertionError("no error")
+
+
+def test_judges_fail_alone(spark):
+    from docweave.operators.evaluation import judge
+
+    def missing():
+        raise RuntimeError("no judge key")
+
+    frame = spark.createDataFrame([("a b",)], "actual_response string")
+    row = judge(frame, {"relevance": missing, "length": lambda: F.length("actual_response")}).first()
+    assert row.relevance is None and row.length == 3.0
