@@ -15,6 +15,7 @@ from docweave.session import fan_out
 
 SALT = "_salt"
 BLOCK = "_block"
+SENT_KEYS = 500_000  # keys that every task may hold
 
 
 def with_salt(df: DataFrame, row_id: list[str]) -> DataFrame:
@@ -49,6 +50,19 @@ def attach(df: DataFrame, facts: DataFrame, keys: list[str], row_id: list[str],
     return salted.join(spread, [*keys, SALT], how).drop(SALT)
 
 
+def keep_only(rows: DataFrame, wanted: DataFrame, unwanted: DataFrame, key: str, limit: int = SENT_KEYS) -> DataFrame:
+    """The rows whose key is in `wanted`; `wanted` and `unwanted` together hold every key once.
+
+    Wide rows stay where they are if either list is short enough to be sent to all tasks, which is
+    counted first; otherwise they meet the wanted keys in a shuffle.
+    """
+    if unwanted.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(unwanted.select(key)), key, "left_anti")
+    if wanted.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(wanted.select(key)), key, "left_semi")
+    return rows.join(wanted.select(key), key, "left_semi")
+
+
 def running_before(
     df: DataFrame, keys: list[str], order: str, amount: Column, name: str, width: int
 ) -> DataFrame:

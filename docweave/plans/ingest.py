@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docweave.config import Settings
 from docweave.operators import chunking, cleaning, dedup, embedding, manifest, store
+from docweave.operators.skew import keep_only
 from docweave.session import ship, written
 from docweave.sources import files as fs
 from docweave.sources import html, json_state, office
@@ -87,11 +88,12 @@ def run(
 
     # The state is read once and kept, because it is replaced at the end.
     state = written(spark.createDataFrame([], manifest.SCHEMA) if modes.wipe else read_manifest(spark, manifest_path), "state")
-    unique = names.where(~F.col("is_duplicate")).select("filename", "file_hash")
-    decided = manifest.skip_decision(unique, state, 0 if modes.dry_run else backend.dim)
-    todo = decided.select("filename") if modes.force else decided.where(~F.col("skip")).select("filename")
+    decided = manifest.skip_decision(names, state, 0 if modes.dry_run else backend.dim)
+    due = ~F.col("is_duplicate") & (F.lit(modes.force) | ~F.col("skip"))
+    decided = written(decided.select("filename", due.alias("due")), "decided")
+    todo = keep_only(hashed, decided.where("due"), decided.where("not due"), "filename")
 
-    documents = written(_cleaned(load(hashed.join(todo, "filename", "left_semi"), pdf)), "documents")
+    documents = written(_cleaned(load(todo, pdf)), "documents")
     readable = documents.where(F.col("error").isNull())
     # A new document also competes with the contents already indexed under other names.
     indexed = state.where((F.col("status") == "ok") & (F.coalesce("content_hash", F.lit("")) != ""))
@@ -100,7 +102,9 @@ def run(
         dedup.content_status(readable.select("filename", "content_hash").unionByName(rivals)), "judged"
     )
     demoted = judged.where(F.col("status") == "duplicate").join(rivals.select("filename"), "filename", "left_semi")
-    fresh = readable.join(judged.where(F.col("status") == "ok").select("filename"), "filename", "left_semi")
+    fresh = keep_only(
+        readable, judged.where(F.col("status") == "ok"), judged.where(F.col("status") != "ok"), "filename"
+    )
 
     chunked = written(
         dedup.drop_repeated_chunks(

@@ -334,13 +334,15 @@ def _cache_machine():
 
 def _lookups(source):
     timed = _timed(source)
-    return timed.select("event_id", F.col("day").cast("bigint").alias("day"), "key", "ts_us")
+    day = F.col("day").cast("bigint")
+    # Without a limit on entries the keys of a process do not touch each other.
+    return timed.select("event_id", day.alias("day"), F.concat_ws("|", day, "key").alias("shard"), "key", "ts_us")
 
 
 def _cached(spark, folder):
     added = "hit boolean, entries bigint"
     lookups = _lookups(table(spark, folder, "events"))
-    return folds.fold(lookups, "day", ["ts_us", "event_id"], _cache_machine, folds.cache_rows, added)
+    return folds.fold(lookups, "shard", ["ts_us", "event_id"], _cache_machine, folds.cache_rows, added)
 
 
 @query("i118_reply_cache", f"{TTL_SQL} SELECT event_id, hit FROM hits")
@@ -354,7 +356,7 @@ def i118_reply_cache_stream(spark, folder):
     schema = table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     done = live.apply(
-        _lookups(stream), "day", ["ts_us", "event_id"], _cache_machine, folds.cache_rows, "hit boolean, entries bigint"
+        _lookups(stream), "shard", ["ts_us", "event_id"], _cache_machine, folds.cache_rows, "hit boolean, entries bigint"
     )
     return live.drained(done, "cached").select("event_id", "hit")
 

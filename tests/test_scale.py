@@ -33,6 +33,16 @@ def test_key_facts_and_attach(spark):
     assert all(r.big == (None if r.key == "k1" else r.key.upper()) for r in left)
 
 
+def test_keep_only_in_every_form(spark):
+    rows = spark.createDataFrame([(i, f"k{i}") for i in range(60)], "id int, key string")
+    for cut in (10, 30, 50):
+        wanted = rows.where(f"id < {cut}").select("key")
+        unwanted = rows.where(f"id >= {cut}").select("key")
+        for limit in (5, 20, 100):
+            kept = skew.keep_only(rows, wanted, unwanted, "key", limit).collect()
+            assert sorted(r.id for r in kept) == list(range(cut))
+
+
 def test_canonical_names(spark):
     rows = [(f"f{i}" + "x" * (i % 4), key) for i, key in hot(900)] + [("lost1", None), ("lost2", None)]
     found = dedup.canonical_names(spark.createDataFrame(rows, "name string, h string"), "h").collect()
