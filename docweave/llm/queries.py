@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import exact, mixing, packing, sharding
+from docweave.llm import exact, mixing, packing, sharding, sketching
 
 QUERIES, ORACLES = {}, {}
 
@@ -55,3 +55,8 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_sharding")
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(documents(spark, folder))
+
+
+@query("op9_near_duplicates")
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return sketching.near_groups(documents(spark, folder), threshold=0.85, words=3)

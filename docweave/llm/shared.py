@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docweave.session import shared_folder
 
 CHUNK_BYTES = 2_000_000
+FILTER_BITS = 20
 
 
 class Store:
@@ -58,3 +60,18 @@ def chunks(batch: pa.RecordBatch, name: str, size: int = CHUNK_BYTES) -> Iterato
         stop = max(start + 1, int(np.searchsorted(ends, ends[start] + size, side="right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose long `key` is in `wanted`, and by chance a few others, without moving any row.
+
+    A bitmap of 64 * 2**bits places goes to all tasks: at most 2**bits rows of 16 bytes, whatever the
+    input. With very many keys it fills up and lets more rows pass, so a join on the key has to follow.
+    """
+    mixed = lambda c: F.xxhash64(F.lit(20), c)
+    word, place = (lambda c: F.shiftrightunsigned(mixed(c), 64 - bits)), (lambda c: mixed(c).bitwiseAND(63).cast("int"))
+    one = F.expr(f"shiftleft(1L, cast(xxhash64(20, `{key}`) & 63 AS INT))")
+    bitmap = wanted.groupBy(word(F.col(key)).alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    marked = rows.withColumn("_at", word(F.col(key))).withColumn("_place", place(F.col(key)))
+    found = marked.join(F.broadcast(bitmap), F.col("_at") == F.col("_word"))
+    return found.where(F.expr("(shiftrightunsigned(_bits, _place) & 1) = 1")).select(*rows.columns)
