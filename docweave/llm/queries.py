@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import exact, mixing, packing, sharding, sketching
+from docweave.llm import exact, forest, mixing, packing, sharding, sketching
 
 QUERIES, ORACLES = {}, {}
 
@@ -60,3 +60,9 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_near_duplicates")
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return sketching.near_groups(documents(spark, folder), threshold=0.85, words=3)
+
+
+@query("op10_forest")
+def op10_forest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return forest.nearest(vectors, vectors.where("vec_id % 20 = 0"))
