@@ -2,8 +2,9 @@
 
 Every row has a 64-bit key of its text. Buckets are key prefixes; as long as one holds more distinct
 keys than fit, its prefix grows by a bit and the directory doubles. A key that several rows share is a
-chain; only then are texts fetched, and compared byte by byte as grouping keys, reduced before any
-shuffle so that thousands of copies arrive as one row per task. The index is written in key order, one
+chain; only then are texts fetched (by a bitmap of bounded size, so that other texts stay where they are),
+and compared byte by byte as grouping keys, reduced before any shuffle so that thousands of copies arrive
+as one row per task. The index is written in key order, one
 owner task per range of buckets, and every row looks itself up in it.
 """
 
@@ -15,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.shared import Store
+from docweave.llm.shared import Store, likely
 
 BUCKET_KEYS = 4096
 
@@ -75,7 +76,7 @@ def exact_groups(
 
     chained = keys.where("chain > 1").select("key")
     classes = (
-        rows.join(chained, "key", "left_semi")
+        likely(rows, "key", chained)
         .groupBy("key", "body")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .select("key", F.sha2("body", 256).alias("member_sha256"), "keep_id", "group_size")

@@ -23,7 +23,7 @@ from docweave.llm.shared import Store
 
 TREES, BITS = 16, 64
 SHARD_ROWS, QUERY_ROWS = 8192, 4096
-HITS = 1.0
+HITS = 1.5
 
 
 def usable(vectors: DataFrame) -> DataFrame:
