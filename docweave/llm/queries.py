@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import exact, forest, mixing, packing, sharding, sketching
+from docweave.llm import exact, forest, mixing, packing, quality, sharding, sketching
 
 QUERIES, ORACLES = {}, {}
 
@@ -66,3 +66,9 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op10_forest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     return forest.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.classify(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+    return judged.select("doc_id", "log_ratio", "kept")
