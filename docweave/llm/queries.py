@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import exact, forest, mixing, packing, quality, sharding, sketching
+from docweave.llm import exact, forest, lines, mixing, packing, quality, sharding, sketching
 
 QUERIES, ORACLES = {}, {}
 
@@ -72,3 +72,9 @@ def op10_forest(spark: SparkSession, folder: str) -> DataFrame:
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.classify(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
     return judged.select("doc_id", "log_ratio", "kept")
+
+
+@query("op6_lines")
+def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
+    rest = lines.near_lines(documents(spark, folder))
+    return rest.select("doc_id", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("rest_sha256"))

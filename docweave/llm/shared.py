@@ -62,16 +62,20 @@ def chunks(batch: pa.RecordBatch, name: str, size: int = CHUNK_BYTES) -> Iterato
         start = stop
 
 
-def likely(rows: DataFrame, key: str, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows whose long `key` is in `wanted`, and by chance a few others, without moving any row.
+def marked(rows: DataFrame, key: str, wanted: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Adds whether the long `key` may be in `wanted` (never false where it is), without moving any row.
 
     A bitmap of 64 * 2**bits places goes to all tasks: at most 2**bits rows of 16 bytes, whatever the
     input. With very many keys it fills up and lets more rows pass, so a join on the key has to follow.
     """
-    mixed = lambda c: F.xxhash64(F.lit(20), c)
-    word, place = (lambda c: F.shiftrightunsigned(mixed(c), 64 - bits)), (lambda c: mixed(c).bitwiseAND(63).cast("int"))
-    one = F.expr(f"shiftleft(1L, cast(xxhash64(20, `{key}`) & 63 AS INT))")
-    bitmap = wanted.groupBy(word(F.col(key)).alias("_word")).agg(F.bit_or(one).alias("_bits"))
-    marked = rows.withColumn("_at", word(F.col(key))).withColumn("_place", place(F.col(key)))
-    found = marked.join(F.broadcast(bitmap), F.col("_at") == F.col("_word"))
-    return found.where(F.expr("(shiftrightunsigned(_bits, _place) & 1) = 1")).select(*rows.columns)
+    mixed = f"xxhash64(20, `{key}`)"
+    word = F.expr(f"shiftrightunsigned({mixed}, {64 - bits})")
+    bitmap = wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({mixed} & 63 AS INT))")).alias("_bits"))
+    held = rows.withColumn("_at", word).join(F.broadcast(bitmap), F.col("_at") == F.col("_word"), "left")
+    there = F.expr(f"coalesce((shiftrightunsigned(_bits, cast({mixed} & 63 AS INT)) & 1) = 1, false)")
+    return held.select(*rows.columns, there.alias(name))
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose `key` is in `wanted`, and by chance a few others."""
+    return marked(rows, key, wanted, "_likely").where("_likely").drop("_likely")
