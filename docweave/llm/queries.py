@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import exact, forest, lines, mixing, packing, quality, sharding, sketching
+from docweave.llm import exact, forest, lines, mixing, packing, quality, sharding, sketching, suffixes
 
 QUERIES, ORACLES = {}, {}
 
@@ -78,3 +78,13 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
     rest = lines.near_lines(documents(spark, folder))
     return rest.select("doc_id", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("rest_sha256"))
+
+
+@query("op2_suffixes")
+def op2_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    rest = suffixes.without_repeats(documents(spark, folder))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return rest.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -18,10 +18,10 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@functools.lru_cache(maxsize=1)
-def letters() -> np.ndarray:
+@functools.lru_cache(maxsize=4)
+def letters(seed: int = 0) -> np.ndarray:
     """A random number for each byte value."""
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE), seed)
 
 
 class Powers:
@@ -41,10 +41,10 @@ class Powers:
 class Prefix:
     """Polynomial prefix hashes of a byte array: the hash of any span in constant time."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, seed: int = 0):
         up, self.down = Powers.get(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(letters()[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(letters(seed)[data] * up[: len(data)], out=self.sums[1:])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]
