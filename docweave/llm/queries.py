@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import exact, forest, lines, mixing, packing, quality, sharding, sketching, suffixes
+from docweave.llm import exact, forest, lines, mixing, packing, quality, scoring, sharding, sketching, suffixes
 
 QUERIES, ORACLES = {}, {}
 
@@ -88,3 +88,9 @@ def op2_suffixes(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op1_attention")
+def op1_attention(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    return scoring.scores(documents(spark, folder), held_out, vocabulary())
