@@ -54,39 +54,38 @@ def uniform(*columns: str, seed: int = 3) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row for each of `docs`.
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, text_key, chance of `docs`."""
+    return docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key"), uniform("doc_id").alias("chance")
+    )
+
+
+def place(chance: Column, inclusion: Column) -> Column:
+    """Rank variable between 0 and 1: random odds over inclusion odds, as a share of both."""
+    odds, against = chance / (1 - chance), inclusion / (1 - inclusion)
+    return F.when(inclusion > 0, odds / (odds + against)).otherwise(F.lit(0.0))
+
+
+def plan(rows: DataFrame, store: Store, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """source, source_size, target, certain, inclusion, last: what each source gives; one row per source.
 
-    Reads doc_id, text and source, and passes on the columns in `carry`. A null or empty text has no words and
-    takes none. A null source is a source of its own. Ties in the ranking go by id, then by text; equal rows
-    share one fate only if the cut does not fall between them. An empty table gives no rows.
+    `rows` are those of `sized`. `certain` is the number of copies of every document, `last` the place (rank,
+    doc_id, text_key) of the last document drawn besides.
     """
-    store = Store(docs.sparkSession, "mix")
-    rows = store.put(
-        docs.select(
-            "doc_id", "source", *carry, word_count(F.col("text")).alias("size"),
-            F.xxhash64("text").alias("text_key"), uniform("doc_id").alias("chance"),
-        ),
-        "rows",
-    )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     sizes = store.put(sizes, "sizes")
     largest = sizes.agg(F.coalesce(F.max("docs"), F.lit(1))).first()[0]
     cells = max(1, math.ceil(largest / CELL_ROWS))
-
-    plan = targets(sizes.select("source", "source_size"), weights, most)
+    shares = targets(sizes.select("source", "source_size"), weights, most)
     times = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    plan = plan.withColumn("certain", F.floor(times).cast("long"))
-    plan = plan.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
-    plan = plan.withColumn("inclusion", F.coalesce(F.try_divide(F.col("rest"), F.col("source_size")), F.lit(0.0)))
-    plan = store.put(plan, "plan")
-
-    joined = rows.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    odds = F.col("chance") / (1 - F.col("chance"))
-    against = F.col("inclusion") / (1 - F.col("inclusion"))
-    ranked = joined.withColumn("rank", F.when(F.col("inclusion") > 0, odds / (odds + against)).otherwise(F.lit(0.0)))
+    shares = shares.withColumn("certain", F.floor(times).cast("long"))
+    shares = shares.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
+    shares = shares.withColumn("inclusion", F.coalesce(F.try_divide(F.col("rest"), F.col("source_size")), F.lit(0.0)))
+    shares = store.put(shares, "shares")
+
+    joined = rows.join(shares.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    ranked = joined.withColumn("rank", place(F.col("chance"), F.col("inclusion")))
     ranked = ranked.withColumn("cell", F.floor(F.col("rank") * cells).cast("int"))
     sums = ranked.groupBy("source", "cell").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,17 +98,48 @@ def mix(
     inside = Window.partitionBy("source").orderBy("rank", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     cut = placed.where("state = 2")
     reached = F.col("below") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2
-    cut = cut.withColumn("drawn", (reached <= F.col("rest")).cast("long"))
-    sure = placed.where("state < 2").withColumn("drawn", F.col("state").cast("long"))
-    copies = F.when(F.col("size") > 0, F.col("certain") + F.col("drawn")).otherwise(0)
-    return (
-        sure.unionByName(cut)
-        .withColumn("copies", copies)
-        .select(
-            "doc_id", "source", *carry, "size", "source_size", "target", "copies",
-            (F.col("size") * F.col("copies")).alias("taken"),
-        )
+    drawn = cut.withColumn("reached", reached).where(F.col("reached") <= F.col("rest")).drop("reached")
+    drawn = placed.where("state = 1").unionByName(drawn)
+    last = drawn.groupBy("source").agg(F.max(F.struct("rank", "doc_id", "text_key")).alias("last"))
+    last = last.withColumnRenamed("source", "of")
+    found = shares.join(last, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "rest")
+    return store.put(found, "plan")
+
+
+def copies(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """`rows`, which have the columns of `sized`, with source_size, target and how often each row is taken."""
+    shares = shares.withColumnRenamed("source", "_of")
+    joined = rows.join(shares, F.col("source").eqNullSafe(F.col("_of")))
+    here = F.struct(place(F.col("chance"), F.col("inclusion")).alias("rank"), "doc_id", "text_key")
+    drawn = F.coalesce(here <= F.col("last"), F.lit(False)).cast("long")
+    return joined.withColumn("copies", F.when(F.col("size") > 0, F.col("certain") + drawn).otherwise(0))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: one row for each of `docs`.
+
+    Reads doc_id, text and source; other columns are ignored. A null or empty text has no words and takes none. A
+    null source is a source of its own. Ties in the ranking go by id, then by text; rows equal in both share one
+    fate. An empty table gives no rows.
+    """
+    store = Store(docs.sparkSession, "mix")
+    rows = store.put(sized(docs), "rows")
+    return copies(rows, plan(rows, store, weights, most)).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it. The texts stay where they are."""
+    store = Store(docs.sparkSession, "mix")
+    shares = plan(store.put(sized(docs), "rows"), store, weights, most)
+    own = docs.select(
+        F.struct(*docs.columns).alias("_row"), "doc_id", "source", word_count(F.col("text")).alias("size"),
+        F.xxhash64("text").alias("text_key"), uniform("doc_id").alias("chance"),
     )
+    taken = copies(own, shares).where("copies > 0")
+    each = taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = """

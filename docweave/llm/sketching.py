@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm.graph import components
-from docweave.llm.shared import Store, chunks, likely, text_bytes
+from docweave.llm.shared import Store, chunks, likely, marked, text_bytes
 from docweave.llm.spans import mix, shingles
 
 BANDS, PER_BAND = 24, 4
@@ -232,6 +232,16 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> Data
     )
 
 
+def without_near_copies(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
+    """The rows of `docs` but those of near_groups that do not stay. Other texts stay where they are."""
+    store = Store(docs.sparkSession, "unique")
+    gone = near_groups(docs, threshold, words).where("NOT kept").select(F.col("doc_id").cast("long").alias("_gone")).distinct()
+    gone = store.put(gone, "gone")
+    rows = marked(docs.withColumn("_gone", F.col("doc_id").cast("long")), "_gone", gone, "_maybe")
+    rest = rows.where("_maybe").join(gone, "_gone", "left_anti")
+    return rows.where("NOT _maybe").select(*docs.columns).union(rest.select(*docs.columns))
+
+
 SMALL = 24
 
 
