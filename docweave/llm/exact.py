@@ -21,9 +21,12 @@ from docweave.llm.shared import Store, likely
 BUCKET_KEYS = 4096
 
 
-def prefix(key: Column, depth: int) -> Column:
-    """The first `depth` bits of a key as a number."""
-    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
+DEEPEST = 40
+
+
+def prefix(key: str, depth: int) -> Column:
+    """The first `depth` bits of the address of a key, which is spread evenly whatever the keys are."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(5), key), 64 - depth) if depth else F.lit(0).cast("long")
 
 
 def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, int]:
@@ -33,15 +36,15 @@ def directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFram
     buckets that are too full.
     """
     spark = keys.sparkSession
-    depth = min(40, max(0, math.ceil(math.log2(max(1, keys.count()) / bucket_keys))))
+    depth = min(DEEPEST, max(0, math.ceil(math.log2(max(1, keys.count()) / bucket_keys))))
     found, pending = [], keys.select("key")
     while True:
-        fill = pending.groupBy(prefix(F.col("key"), depth).alias("slot")).count()
-        full = fill.where(F.col("count") > bucket_keys).select("slot")
-        found.append((depth, fill.where(F.col("count") <= bucket_keys).select("slot")))
-        if depth == 62 or full.isEmpty():
+        fill = pending.groupBy(prefix("key", depth).alias("slot")).count()
+        full = fill.where((F.col("count") > bucket_keys) & F.lit(depth < DEEPEST)).select("slot")
+        found.append((depth, fill.where((F.col("count") <= bucket_keys) | F.lit(depth == DEEPEST)).select("slot")))
+        if full.isEmpty():
             break
-        pending = pending.withColumn("slot", prefix(F.col("key"), depth)).join(full, "slot", "left_semi").select("key")
+        pending = pending.withColumn("slot", prefix("key", depth)).join(full, "slot", "left_semi").select("key")
         depth += 1
     slots = spark.createDataFrame([], "slot long, bucket long, depth int")
     for local, part in found:
@@ -82,7 +85,7 @@ def exact_groups(
         .select("key", F.sha2("body", 256).alias("member_sha256"), "keep_id", "group_size")
     )
     slots, depth = directory(keys, bucket_keys)
-    placed = keys.withColumn("slot", prefix(F.col("key"), depth)).join(slots, "slot")
+    placed = keys.withColumn("slot", prefix("key", depth)).join(slots, "slot")
     index = placed.join(classes, "key", "left").select(
         "bucket", "depth", "key", "chain", "member_sha256", "keep_id", "group_size"
     )

@@ -83,7 +83,7 @@ def scored(docs: DataFrame, ratios: np.ndarray, name: str) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "text"):
                 row, bucket = features(*text_bytes(part.column("text")))
-                total = np.bincount(row, weights=ratios[bucket], minlength=part.num_rows)
+                total = np.bincount(row, weights=ratios[bucket], minlength=part.num_rows).astype(float)  # whole numbers if empty
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total)], names=[*part.schema.names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
