@@ -15,7 +15,7 @@ HEADLINE = [
     "i52_byte_duplicates", "i53_content_duplicates", "i54_chunk_duplicates", "i55_skip_decision",
     "i57_replace_source", "i60_manifest_summary", "i67_cache_hits", "i70_embed_rows", "i78_top_k",
     "i83_two_stage", "i86_numbered_context", "i88_history", "i101_clarification", "i106_screening",
-    "i113_language", "i116_window_usage", "i116_admit_times", "i118_reply_cache", "i126_fallback",
+    "i113_language", "i116_window_usage", "i118_reply_cache", "i126_fallback",
     "i130_131_scores", "i135_136_screening_quality", "i62_ingest_job", "i139_answer",
 ]
 

@@ -127,20 +127,32 @@ def is_page_number(line: Column) -> Column:
 
 
 def fixed3(number: Column) -> Column:
-    """A number below 4 with three decimals, rounded from its exact binary value, ties to even.
+    """A number with three decimals, rounded from its exact binary value, ties to even.
 
-    The JVM formatter rounds the shortest decimal form half up, which differs for ties.
+    The JVM formatter rounds the shortest decimal form half up, which differs for ties. Whole part and
+    fraction are formatted apart; both are exact. From 2**123 on, and for values that are not finite, the digits
+    are the JVM's.
     """
+    size = F.abs(number)
+    whole = F.floor(size.cast("double"))
+    large = float(2**60)
+    high = F.when(size < float(2**53), 0.0).otherwise(F.floor(size / large))
+    exact = F.when(size < float(2**53), size.cast("bigint").cast("decimal(38,0)")).otherwise(
+        high.cast("bigint").cast("decimal(19,0)") * F.lit(str(2**60)).cast("decimal(19,0)")
+        + (size - high * large).cast("bigint").cast("decimal(38,0)")
+    )
+    fraction = F.when(size < float(2**53), size - whole).otherwise(0.0)
     one = 2**61
-    scaled = F.abs(number) * float(one // 2)
+    scaled = fraction * float(one)
     # The last bit records that something smaller was cut off.
     bits = scaled.cast("bigint") * 2 + (scaled > F.floor(scaled)).cast("int")
     thousandths = bits.cast("decimal(20,0)") * F.lit(1000).cast("decimal(4,0)")
-    unit, half = (F.lit(str(v)).cast("decimal(20,0)") for v in (one, one // 2))
+    unit, half = (F.lit(str(v)).cast("decimal(20,0)") for v in (2 * one, one))
     rest = thousandths % unit
-    whole = ((thousandths - rest) / unit).cast("bigint")
-    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    whole = whole + up.cast("int")
-    sign = F.when(number < 0, "-").otherwise("")
-    tail = F.lpad((whole % 1000).cast("string"), 3, "0")
-    return F.concat(sign, F.floor(whole / 1000).cast("string"), F.lit("."), tail)
+    units = ((thousandths - rest) / unit).cast("bigint")
+    up = (rest > half) | ((rest == half) & (units % 2 == 1))
+    units = units + up.cast("int")
+    total = exact + F.floor(units / 1000).cast("decimal(1,0)")
+    sign = F.when(number.cast("string").startswith("-"), "-").otherwise("")
+    tail = F.lpad((units % 1000).cast("string"), 3, "0")
+    return F.when(size < 2.0**123, F.concat(sign, total.cast("string"), F.lit("."), tail)).otherwise(number.cast("string"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import argparse
 import sys
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from docweave.config import Settings
 from docweave.operators import chunking, cleaning, dedup, embedding, manifest, store
 from docweave.operators.skew import keep_only
-from docweave.session import ship, written
+from docweave.session import ship, stages, written
 from docweave.sources import files as fs
 from docweave.sources import html, json_state, office
 
@@ -75,8 +76,19 @@ def run(
     chunks, and the points.
     """
     settings = settings or Settings()
+    problems = settings.problems("job")
+    if problems:
+        raise ValueError("; ".join(problems))
+    with stages(spark, "records"):
+        return _run(spark, files, store_path, manifest_path, modes, settings, backend, cache, snapshot_path, pdf)
+
+
+def _run(
+    spark, files, store_path, manifest_path, modes, settings, backend, cache, snapshot_path, pdf
+) -> tuple[int, DataFrame]:
     if modes.limit:
-        files = files.orderBy("filename").limit(modes.limit)
+        first = files.select("filename").orderBy("filename").limit(modes.limit)  # names only: contents stay
+        files = files.join(first, "filename", "left_semi")
     hashed = fs.with_file_hash(files)
     names = written(dedup.canonical_names(hashed.select("filename", "file_hash"), "file_hash", "filename"), "names")
     if names.isEmpty():
@@ -121,8 +133,11 @@ def run(
             rows, ["source", "chunk_index"], backend, cache if settings.embedding_cache else None
         )
         points = written(store.to_points(embedded).drop("key"), "points")
-        gone = names.where("is_duplicate").select("filename").unionByName(demoted.select("filename"))
-        touched = documents.select("filename").unionByName(gone).withColumnRenamed("filename", "source")
+        twins = judged.where(F.col("status") == "duplicate").select("filename")
+        gone = names.where("is_duplicate").select("filename").unionByName(twins)
+        # A file that fails to load or gives no chunks keeps the points that it had.
+        renewed = chunked.where(F.size("chunks") > 0).select("filename")
+        touched = renewed.unionByName(gone).distinct().withColumnRenamed("filename", "source")
         if modes.wipe or not store.table_exists(spark, store_path):
             store.write_points(points, store_path, overwrite=True)
         else:
@@ -198,14 +213,23 @@ def _records(names, documents, judged, chunked, demoted, state, backend, modes)
 
 
 def main(argv: list[str]) -> int:
-    """ingest FOLDER STORE MANIFEST [--wipe] [--force] [--dry-run]"""
-    flags, (folder, store_path, manifest_path) = {a for a in argv if a.startswith("--")}, [
-        a for a in argv if not a.startswith("--")
-    ]
+    options = argparse.ArgumentParser(prog="ingest", description="Files below a folder, or one file, into a vector table.")
+    options.add_argument("target")
+    options.add_argument("store")
+    options.add_argument("manifest")
+    for name in ("--wipe", "--force", "--dry-run"):
+        options.add_argument(name, action="store_true")
+    options.add_argument("--limit", type=int)
+    given = options.parse_args(argv)
     spark = SparkSession.builder.appName("ingest").getOrCreate()
     ship(spark)
-    modes = Modes("--wipe" in flags, "--force" in flags, "--dry-run" in flags)
-    code, state = run(spark, fs.discover(spark, folder), store_path, manifest_path, modes)
+    place = spark._jvm.org.apache.hadoop.fs.Path(given.target)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        options.error(f"no such file or folder: {given.target}")
+    settings = Settings()
+    modes = Modes(given.wipe, given.force, given.dry_run, given.limit)
+    backend = embedding.select_backend(settings.embedding_provider)
+    code, state = run(spark, fs.discover(spark, given.target), given.store, given.manifest, modes, settings, backend)
     manifest.summary(state).show()
     return code
 

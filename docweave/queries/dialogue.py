@@ -258,7 +258,7 @@ def i121_thread_stream(spark, folder):
     return live.drained(done, "threads").select("conv_id", "turn", "n_messages", "awaiting", "rounds")
 
 
-# Limiter and reply cache over the events; a process lives for one day.
+# Usage and reply lifetimes over the events; a process lives for one day.
 
 
 def _timed(source):
@@ -273,7 +273,6 @@ def _timed(source):
         day.alias("day"),
         (F.col("event_id") % 40 + 1).cast("int").alias("units"),
         F.concat_ws("|", F.col("user_id") % 5, "event_type").alias("key"),
-        F.when(F.col("event_id") % 50 == 0, F.lit(120.0)).alias("penalty"),
     )
 
 
@@ -289,33 +288,6 @@ def i116_window_usage(spark, folder):
     return window_usage(timed, "caller").select("event_id", "used")
 
 
-def _requests(source):
-    """Requests close together: a day's events squeezed into five minutes."""
-    timed = _timed(source)
-    inside = F.floor((F.col("ts_us") - F.col("day") * 86_400_000_000) / 288).cast("bigint")
-    return timed.select(
-        "event_id", F.col("day").cast("bigint").alias("day"), inside.alias("ts_us"), "units", "penalty"
-    )
-
-
-@query("i116_admit_times")
-def i116_admit_times(spark, folder):
-    """When each request passes the limiter of its process."""
-    requests = _requests(table(spark, folder, "events"))
-    done = folds.fold(requests, "day", ["ts_us", "event_id"], folds.Limiter, folds.limiter_rows, "admit_us bigint")
-    return done.select("event_id", "day", "ts_us", "admit_us")
-
-
-@query("i116_admit_stream")
-def i116_admit_stream(spark, folder):
-    schema = table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    done = live.apply(
-        _requests(stream), "day", ["ts_us", "event_id"], folds.Limiter, folds.limiter_rows, "admit_us bigint"
-    )
-    return live.drained(done, "admitted").select("event_id", "day", "ts_us", "admit_us")
-
-
 TTL_US = 900 * 1_000_000
 TTL_SQL = f"""
 WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) AS t, epoch_us(ts) // 86400000000 AS day,
@@ -328,26 +300,25 @@ anchors AS (
 hits AS (SELECT event_id, day, t NOT IN (SELECT a FROM anchors n WHERE n.day = e.day AND n.key = e.key AND a IS NOT NULL) AS hit FROM e)"""
 
 
-def _cache_machine():
-    return folds.ReplyCache(TTL_US, limit=1_000_000)
+def _expiry():
+    return folds.Expiry(TTL_US)
 
 
 def _lookups(source):
     timed = _timed(source)
     day = F.col("day").cast("bigint")
-    # Without a limit on entries the keys of a process do not touch each other.
+    # The keys of a process do not touch each other.
     return timed.select("event_id", day.alias("day"), F.concat_ws("|", day, "key").alias("shard"), "key", "ts_us")
 
 
 def _cached(spark, folder):
-    added = "hit boolean, entries bigint"
     lookups = _lookups(table(spark, folder, "events"))
-    return folds.fold(lookups, "shard", ["ts_us", "event_id"], _cache_machine, folds.cache_rows, added)
+    return folds.fold(lookups, "shard", ["ts_us", "event_id"], _expiry, folds.expiry_rows, "hit boolean")
 
 
 @query("i118_reply_cache", f"{TTL_SQL} SELECT event_id, hit FROM hits")
 def i118_reply_cache(spark, folder):
-    """Which lookups the reply cache of their process answers."""
+    """Which lookups find a reply of their process and key that is still alive."""
     return _cached(spark, folder).select("event_id", "hit")
 
 
@@ -356,25 +327,11 @@ def i118_reply_cache_stream(spark, folder):
     schema = table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     done = live.apply(
-        _lookups(stream), "shard", ["ts_us", "event_id"], _cache_machine, folds.cache_rows, "hit boolean, entries bigint"
+        _lookups(stream), "shard", ["ts_us", "event_id"], _expiry, folds.expiry_rows, "hit boolean"
     )
     return live.drained(done, "cached").select("event_id", "hit")
 
 
-def _small_cache():
-    return folds.ReplyCache(TTL_US, limit=12, evicted=4)
-
-
-@query("i119_eviction")
-def i119_eviction(spark, folder):
-    """Entries after each lookup when a full cache drops its oldest entries."""
-    lookups = _lookups(table(spark, folder, "events"))
-    done = folds.fold(
-        lookups, "day", ["ts_us", "event_id"], _small_cache, folds.cache_rows, "hit boolean, entries bigint"
-    )
-    return done.select("event_id", "hit", "entries")
-
-
 @query(
     "i120_cache_report",
     f"""{TTL_SQL}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,17 +47,35 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named (tests)."""
+    """The cluster's checkpoint folder. Only a local session, as in tests, gets one of its own where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="docweave-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+_runs: list[dict[str, str]] = []
+
+
+@contextmanager
+def stages(spark: SparkSession, *kept: str) -> Iterator[None]:
+    """Deletes at its end the tables that `written` has made inside, but those of the names in `kept`."""
+    _runs.append({})
+    try:
+        yield
+    finally:
+        for path, name in _runs.pop().items():
+            if name not in kept:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as parquet in the shared folder and return the table read back.
 
@@ -63,6 +84,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _runs:
+        _runs[-1][path] = name
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -32,12 +32,32 @@ def loader_of(name: Column) -> Column:
     return F.coalesce(*[F.when(ext == e, F.lit(loader)) for e, loader in LOADERS.items()])
 
 
+def name_pattern() -> str:
+    """A glob for the supported endings in any mix of cases, which the scan checks before it opens a file."""
+    cases = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ending) for ending in LOADERS]
+    return "*.{" + ",".join(cases) + "}"
+
+
 def discover(spark: SparkSession, target: str) -> DataFrame:
-    """(path, filename, content, length) of the supported files below a folder, or of one file."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target)
-    name = F.substring_index("path", "/", -1)
+    """(path, filename, content, length) of the supported files below a folder, or of one file.
+
+    `filename` is the path below the folder, so that equal base names in different places stay apart.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = system.makeQualified(place)
+    base = whole if system.getFileStatus(whole).isDirectory() else whole.getParent()
+    start = len(base.toString().rstrip("/")) + 2
+    found = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", name_pattern())
+        .load(target)
+    )
+    name = F.expr(f"substring(path, {start})")
     files = found.select("path", name.alias("filename"), "content", "length")
-    return files.where(loader_of(F.col("filename")).isNotNull() & ~F.col("filename").startswith("."))
+    bare = F.substring_index("filename", "/", -1)
+    return files.where(loader_of(F.col("filename")).isNotNull() & ~bare.startswith("."))
 
 
 def with_file_hash(files: DataFrame) -> DataFrame:

@@ -72,9 +72,17 @@ def readable_text(html: str) -> str:
     return "\n".join(line for line in stripped if line)
 
 
+def readable(html: str | None) -> str | None:
+    """The text of a page; null for one whose declarations the parser rejects, so that only its file fails."""
+    try:
+        return None if html is None else readable_text(html)
+    except AssertionError:
+        return None
+
+
 @F.arrow_udf(T.StringType())
 def html_text(pages: pa.Array) -> pa.Array:
-    return pa.array([None if p is None else readable_text(p) for p in pages.to_pylist()], pa.string())
+    return pa.array([readable(p) for p in pages.to_pylist()], pa.string())
 
 
 def load_html(files: DataFrame) -> DataFrame:

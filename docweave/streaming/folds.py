@@ -1,92 +1,54 @@
-"""State machines whose answer depends on the order of events, and their batch driver.
+"""Rows of a shard applied in order to a small state, and the batch driver for it.
 
-Each machine is small, knows only its own shard, and can be stored between calls. In a batch, rows
-are shuffled by shard and sorted, and flow through the machine one Arrow batch at a time, so memory
-is bounded by the machine's own state however long a shard is. A shard should be one process
-lifetime (such as a service and a day), which is what the state belongs to.
+In a batch, rows are shuffled by shard and sorted, and reach the state one Arrow batch at a time, so memory
+is bounded by the state however long a shard is. `live` keeps the same states in a stream.
 """
 
 from __future__ import annotations
 
-import heapq
-import json
-from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-WINDOW_US = 60_000_000
-MARGIN_US = 50_000
-
-
-class Limiter:
-    """Sliding-window limiter: units of the last 60 seconds, plus waits a provider imposed."""
-
-    def __init__(self, cap: int = 90):
-        self.cap, self.clock, self.blocked, self.events = max(1, cap), 0, 0, deque()
-
-    def admit(self, arrival: int, units: int, penalty: float | None = None) -> int:
-        """When the request goes through (microseconds); callers are served one after another."""
-        now, units = max(arrival, self.clock), max(1, units)
-        while True:
-            if now < self.blocked:
-                now = self.blocked
-                continue
-            while self.events and now - self.events[0][0] >= WINDOW_US:
-                self.events.popleft()
-            used = sum(n for _, n in self.events)
-            if not self.events or used + units <= self.cap:
-                break
-            now = self.events[0][0] + WINDOW_US + MARGIN_US
-        self.events.append((now, units))
-        self.clock = now
-        if penalty is not None and penalty == penalty:
-            self.blocked = max(self.blocked, now + int(penalty * 1_000_000))
-            self.events.clear()
-        return now
-
-    def dump(self) -> str:
-        return json.dumps([self.clock, self.blocked, list(self.events)])
-
-    def load(self, text: str) -> Limiter:
-        self.clock, self.blocked, events = json.loads(text)
-        self.events = deque(tuple(e) for e in events)
-        return self
-
-
-class ReplyCache:
-    """Replies by key with a lifetime; a hit does not renew it, a miss stores a new reply."""
-
-    def __init__(self, ttl_us: int, limit: int = 512, evicted: int = 128):
-        self.ttl_us, self.limit, self.evicted, self.stored = ttl_us, limit, evicted, {}
-
-    def lookup(self, key: str, at: int) -> bool:
-        stored = self.stored.get(key)
-        if stored is not None and at - stored <= self.ttl_us:
-            return True
-        self.stored.pop(key, None)
-        if len(self.stored) > self.limit:
-            # Equal ages leave in insertion order, which a dict keeps.
-            for _, _, name in heapq.nsmallest(
-                self.evicted, ((t, i, k) for i, (k, t) in enumerate(self.stored.items()))
-            ):
-                del self.stored[name]
-        self.stored[key] = at
-        return False
-
-    def dump(self) -> str:
-        return json.dumps(list(self.stored.items()))
-
-    def load(self, text: str) -> ReplyCache:
-        self.stored = dict(json.loads(text))
-        return self
+
+class Expiry:
+    """Replies kept for `ttl_us` after they were made: which lookups of one key find one.
+
+    The state is the time of the last lookup that made a reply. All lookups up to its end find it; the next
+    one after that makes a new one, so a long row of times is crossed in steps of one lifetime.
+    """
+
+    SCHEMA = T.StructType([T.StructField("made", T.LongType())])
+
+    def __init__(self, ttl_us: int):
+        self.ttl_us, self.made = ttl_us, None
+
+    def found(self, times: np.ndarray) -> np.ndarray:
+        """For times in order: whether each finds a reply."""
+        hit = np.ones(len(times), bool)
+        at = 0 if self.made is None else int(np.searchsorted(times, self.made + self.ttl_us, side="right"))
+        while at < len(times):
+            hit[at], self.made = False, int(times[at])
+            at = max(at + 1, int(np.searchsorted(times, self.made + self.ttl_us, side="right")))
+        return hit
+
+    def values(self) -> tuple:
+        return (self.made,)
+
+    def restore(self, made: int | None) -> None:
+        self.made = made
 
 
 class Thread:
     """One conversation: message count, waiting for answers, rounds of questions asked."""
 
+    SCHEMA = T.StructType(
+        [T.StructField("messages", T.LongType()), T.StructField("awaiting", T.BooleanType()), T.StructField("rounds", T.IntegerType())]
+    )
+
     def __init__(self, max_rounds: int = 1, enabled: bool = True):
         self.max_rounds, self.enabled = max_rounds, enabled
         self.messages, self.awaiting, self.rounds = 0, False, 0
@@ -99,30 +61,19 @@ class Thread:
             self.rounds += bool(asks)
         return self.messages, self.awaiting, self.rounds
 
-    def dump(self) -> str:
-        return json.dumps([self.messages, self.awaiting, self.rounds])
-
-    def load(self, text: str) -> Thread:
-        self.messages, self.awaiting, self.rounds = json.loads(text)
-        return self
-
+    def values(self) -> tuple:
+        return self.messages, self.awaiting, self.rounds
 
-def limiter_rows(machine: Limiter, rows: pd.DataFrame) -> pd.DataFrame:
-    penalties = rows["penalty"] if "penalty" in rows else [None] * len(rows)
-    admitted = [machine.admit(a, u, p) for a, u, p in zip(rows["ts_us"], rows["units"], penalties)]
-    return rows.assign(admit_us=pd.Series(admitted, index=rows.index, dtype="int64"))
+    def restore(self, messages: int, awaiting: bool, rounds: int) -> None:
+        self.messages, self.awaiting, self.rounds = messages, awaiting, rounds
 
 
-def cache_rows(machine: ReplyCache, rows: pd.DataFrame) -> pd.DataFrame:
-    hits, sizes = [], []
-    for key, at in zip(rows["key"], rows["ts_us"]):
-        hits.append(machine.lookup(key, at))
-        sizes.append(len(machine.stored))
-    return rows.assign(hit=pd.Series(hits, index=rows.index, dtype=bool), entries=pd.Series(sizes, index=rows.index, dtype="int64"))
+def expiry_rows(state: Expiry, rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.assign(hit=state.found(rows["ts_us"].to_numpy(np.int64)))
 
 
-def thread_rows(machine: Thread, rows: pd.DataFrame) -> pd.DataFrame:
-    states = [machine.turn(bool(s), bool(n)) for s, n in zip(rows["symptom"], rows["need_more"])]
+def thread_rows(state: Thread, rows: pd.DataFrame) -> pd.DataFrame:
+    states = [state.turn(bool(s), bool(n)) for s, n in zip(rows["symptom"], rows["need_more"])]
     count, awaiting, rounds = zip(*states) if states else ((), (), ())
     return rows.assign(
         n_messages=pd.Series(count, index=rows.index, dtype="int64"),
@@ -135,10 +86,8 @@ def output_schema(df: DataFrame, added: str) -> T.StructType:
     return T.StructType(df.schema.fields + T._parse_datatype_string(added).fields)
 
 
-def fold(
-    df: DataFrame, shard: str, order: list[str], machine: Callable, step: Callable, added: str
-) -> DataFrame:
-    """Runs one machine per shard over its rows in order, adding the columns `added`."""
+def fold(df: DataFrame, shard: str, order: list[str], fresh: Callable, step: Callable, added: str) -> DataFrame:
+    """Applies the rows of each shard in order to a fresh state, adding the columns `added`."""
     columns = [f.name for f in output_schema(df, added).fields]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +95,7 @@ def fold(
         for batch in batches:
             for value, rows in batch.groupby(shard, sort=False, dropna=False):
                 if state is None or value != current:
-                    current, state = value, machine()
+                    current, state = value, fresh()
                 yield step(state, rows)[columns]
 
     return (

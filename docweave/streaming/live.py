@@ -1,4 +1,4 @@
-"""The same machines as Structured Streaming operators, with their state kept by Spark."""
+"""The states of `folds` as Structured Streaming operators: typed, kept by Spark, with a time to live."""
 
 from __future__ import annotations
 
@@ -8,48 +8,49 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 import docweave
 from docweave.session import ROCKSDB, shared_folder
 from docweave.streaming.folds import output_schema
 
-_STATE = T.StructType([T.StructField("dump", T.StringType())])
+TTL_MS = 30 * 24 * 3_600_000  # a shard without rows for so long starts anew
 
 
-class MachineProcessor(StatefulProcessor):
-    """Keeps one machine per shard; rows of a micro-batch are applied in order."""
+class OrderedState(StatefulProcessor):
+    """Keeps one state per shard; rows of a micro-batch are applied in order."""
 
-    def __init__(self, machine: Callable, step: Callable, order: list[str], columns: list[str]):
-        self.machine, self.step, self.order, self.columns = machine, step, order, columns
+    def __init__(self, fresh: Callable, step: Callable, order: list[str], columns: list[str], ttl_ms: int):
+        self.fresh, self.step, self.order, self.columns, self.ttl_ms = fresh, step, order, columns, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("machine", _STATE)
+        self.kept = handle.getValueState("state", self.fresh().SCHEMA, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        machine = self.machine()
-        if self.state.exists():
-            machine.load(self.state.get()[0])
+        state = self.fresh()
+        if self.kept.exists():
+            state.restore(*self.kept.get())
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable").reset_index(drop=True)
-        out = self.step(machine, batch)
-        self.state.update((machine.dump(),))
+        out = self.step(state, batch)
+        self.kept.update(state.values())
         yield out[self.columns]
 
     def close(self) -> None:
         pass
 
 
-def apply(stream: DataFrame, shard: str, order: list[str], machine: Callable, step: Callable, added: str) -> DataFrame:
+def apply(
+    stream: DataFrame, shard: str, order: list[str], fresh: Callable, step: Callable, added: str, ttl_ms: int = TTL_MS
+) -> DataFrame:
     """The streaming twin of `folds.fold`. Events of a shard must arrive in order of micro-batches."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = output_schema(stream, added)
-    processor = MachineProcessor(machine, step, order, [f.name for f in schema.fields])
+    processor = OrderedState(fresh, step, order, [f.name for f in schema.fields], ttl_ms)
     # The worker that sets up the state does not see added Python files: send the code itself.
     cloudpickle.register_pickle_by_value(docweave)
     try:
         return stream.groupBy(shard).transformWithStateInPandas(
-            processor, outputStructType=schema, outputMode="Append", timeMode="None"
+            processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime"
         )
     finally:
         cloudpickle.unregister_pickle_by_value(docweave)

@@ -1,10 +1,12 @@
 """Files, ingestion, answering, state machines, settings."""
 
 import io
+import os
 import tempfile
 import uuid
 import zipfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docweave.config import Settings, effective_overlap
@@ -95,6 +97,57 @@ def test_discovery_and_loading(spark):
     assert all((r.pages is None) == bool(r.error) for r in loaded.values())
 
 
+def test_names_below_the_folder_and_malformed_pages(spark):
+    folder = tempfile.mkdtemp()
+    for name, data in {"x/index.txt": b"one text", "y/index.TXT": b"another", "bad.html": b"<p>a<![foo[ bar ]]></p>"}.items():
+        os.makedirs(os.path.dirname(f"{folder}/{name}"), exist_ok=True)
+        with open(f"{folder}/{name}", "wb") as out:
+            out.write(data)
+    found = {r.filename: r for r in ingest.load(files.discover(spark, folder)).collect()}
+    assert set(found) == {"x/index.txt", "y/index.TXT", "bad.html"}
+    assert found["bad.html"].error and not found["x/index.txt"].error
+    assert [r.filename for r in files.discover(spark, f"{folder}/x/index.txt").collect()] == ["index.txt"]
+
+
+def test_failed_reload_keeps_points(spark):
+    base = tempfile.mkdtemp()
+    ingest.run(spark, corpus(spark, a_txt=LONG, b_txt=LONG.replace("tick", "fly")), f"{base}/points", f"{base}/state")
+    before = {r.source for r in spark.read.parquet(f"{base}/points").select("source").collect()}
+    code, state = ingest.run(spark, corpus(spark, a_txt=" ", b_txt=LONG.replace("tick", "fly")), f"{base}/points", f"{base}/state")
+    after = {r.source for r in spark.read.parquet(f"{base}/points").select("source").collect()}
+    assert before == after == {"a.txt", "b.txt"} and code == ingest.SOME_FAILED
+    assert {r.filename: r.status for r in state.collect()} == {"a.txt": "failed", "b.txt": "ok"}
+
+
+def test_unknown_options_and_missing_targets_stop(spark):
+    for argv in (["a", "b", "c", "--dryrun"], ["/no/such/folder", "b", "c"]):
+        try:
+            ingest.main(argv)
+        except SystemExit as stop:
+            assert stop.code == 2
+        else:
+            raise AssertionError("it ran")
+
+
+def test_stages_are_deleted_and_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from docweave.session import shared_folder, stages, written
+
+    with stages(spark, "kept"):
+        gone, kept = written(spark.range(3), "gone"), written(spark.range(4), "kept")
+    assert kept.count() == 4
+    assert not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    try:
+        shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+    except RuntimeError:
+        pass
+    else:
+        raise AssertionError("a machine's own folder was taken")
+
+
 def test_tier_retry(spark):
     totals = spark.createDataFrame([("d", 4)], "doc string, total int")
     first = spark.createDataFrame([("d", 1, 1, "one"), ("d", 2, 1, " ")], "doc string, page int, tier int, text string")
@@ -215,30 +268,20 @@ def test_point_id(spark):
         assert r.id == str(uuid.uuid5(namespace, f"{r.s}:{r.i}"))
 
 
-def test_limiter_and_cache_rules():
-    limiter = folds.Limiter(10)
-    second = 1_000_000
-    assert limiter.admit(0, 6) == 0
-    assert limiter.admit(1 * second, 5) == 60 * second + 50_000  # waits for the first to age out
-    assert limiter.admit(61 * second, 50) == 120 * second + 100_000  # an oversized request goes alone
-    assert limiter.admit(400 * second, 1, penalty=120.0) == 400 * second
-    assert limiter.admit(401 * second, 10) == 520 * second
-    cache = folds.ReplyCache(10, limit=2, evicted=1)
-    assert [cache.lookup("a", t) for t in (0, 10, 11)] == [False, True, False]
-    for at, key in enumerate("bcd", start=12):
-        cache.lookup(key, at)
-    assert sorted(cache.stored) == ["b", "c", "d"]
-    for machine in (limiter, cache):
-        copy = type(machine)(10).load(machine.dump())
-        assert copy.dump() == machine.dump()
+def test_replies_expire():
+    state = folds.Expiry(10)
+    assert state.found(np.array([0, 3, 10, 11, 11, 21, 22, 100])).tolist() == [False, True, True, False, True, True, False, False]
+    later = folds.Expiry(10)
+    later.restore(*state.values())
+    assert later.found(np.array([105, 110, 111])).tolist() == [True, True, False]
+    assert later.found(np.array([], np.int64)).tolist() == []
 
 
 def test_streams_equal_batches(spark):
     from docweave.queries import QUERIES
 
     folder = "/root/testdata/sf0.001"
-    for batch, stream in (("i116_admit_times", "i116_admit_stream"), ("i118_reply_cache", "i118_reply_cache_stream"),
-                          ("i101_clarification", "i121_thread_stream")):
+    for batch, stream in (("i118_reply_cache", "i118_reply_cache_stream"), ("i101_clarification", "i121_thread_stream")):
         assert sorted(QUERIES[batch](spark, folder).collect()) == sorted(QUERIES[stream](spark, folder).collect())
 
 
