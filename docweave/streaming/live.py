@@ -1,4 +1,4 @@
-"""The states of `folds` as Structured Streaming operators: typed, kept by Spark, with a time to live."""
+"""The states of `folds` as Structured Streaming operators: typed and kept by Spark."""
 
 from __future__ import annotations
 
@@ -14,17 +14,15 @@ import docweave
 from docweave.session import ROCKSDB, shared_folder
 from docweave.streaming.folds import output_schema
 
-TTL_MS = 30 * 24 * 3_600_000  # a shard without rows for so long starts anew
-
 
 class OrderedState(StatefulProcessor):
     """Keeps one state per shard; rows of a micro-batch are applied in order."""
 
-    def __init__(self, fresh: Callable, step: Callable, order: list[str], columns: list[str], ttl_ms: int):
-        self.fresh, self.step, self.order, self.columns, self.ttl_ms = fresh, step, order, columns, ttl_ms
+    def __init__(self, fresh: Callable, step: Callable, order: list[str], columns: list[str]):
+        self.fresh, self.step, self.order, self.columns = fresh, step, order, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("state", self.fresh().SCHEMA, ttlDurationMs=self.ttl_ms)
+        self.kept = handle.getValueState("state", self.fresh().SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.fresh()
@@ -39,18 +37,16 @@ class OrderedState(StatefulProcessor):
         pass
 
 
-def apply(
-    stream: DataFrame, shard: str, order: list[str], fresh: Callable, step: Callable, added: str, ttl_ms: int = TTL_MS
-) -> DataFrame:
+def apply(stream: DataFrame, shard: str, order: list[str], fresh: Callable, step: Callable, added: str) -> DataFrame:
     """The streaming twin of `folds.fold`. Events of a shard must arrive in order of micro-batches."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = output_schema(stream, added)
-    processor = OrderedState(fresh, step, order, [f.name for f in schema.fields], ttl_ms)
+    processor = OrderedState(fresh, step, order, [f.name for f in schema.fields])
     # The worker that sets up the state does not see added Python files: send the code itself.
     cloudpickle.register_pickle_by_value(docweave)
     try:
         return stream.groupBy(shard).transformWithStateInPandas(
-            processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime"
+            processor, outputStructType=schema, outputMode="Append", timeMode="None"
         )
     finally:
         cloudpickle.unregister_pickle_by_value(docweave)
