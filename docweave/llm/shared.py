@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docweave.session import shared_folder
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 FILTER_BITS = 20
 
 
