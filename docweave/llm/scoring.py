@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import functools
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,20 +29,19 @@ from docweave.llm.packing import byte_letters, tokenizer
 from docweave.llm.shared import Store, chunks
 from docweave.llm.spans import Prefix, mix, words
 
-STRIDE = 26
+STRIDE = 28
 END = TOKENS - 1
-PORTION = 200.0  # of n training windows, about PORTION * sqrt(n) are learned from, all if they are fewer
+PORTION = 80.0  # of n training windows, about PORTION * sqrt(n) are learned from, all if they are fewer
 ROUNDS = 4
 LEARNER_WINDOWS = 16_384
 FREQUENT = 1 << 18
 NETWORK = 0.5  # weight of the network against the base
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def normal(text: str) -> str:
     """Letters A-Z as a-z, words apart by one space."""
-    lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    return "".join([" " + word for word in WORD.findall(lower)])
+    parts = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and white space only
+    return b" ".join([b"", *parts]).decode("utf-8", "surrogatepass")
 
 
 def raw_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -90,10 +88,12 @@ def spelling(vocabulary: str) -> Ragged:
     """The bytes of every raw id."""
     letters = byte_letters()
     with open(vocabulary, encoding="utf-8") as file:
-        known = json.load(file)["model"]["vocab"]
+        found = json.load(file)
     parts = [[] for _ in range(1 << 16)]
-    for word, i in known.items():
+    for word, i in found["model"]["vocab"].items():
         parts[i] = [letters[c] for c in word]
+    for entry in found["added_tokens"]:
+        parts[entry["id"]] = list(entry["content"].encode())
     return Ragged(parts, np.uint8)
 
 
@@ -112,12 +112,10 @@ class Subwords:
         own = {raw: 256 + n for n, raw in enumerate(often)}
         words = [spelled.flat[a : a + n].tolist() for a, n in zip(spelled.starts, spelled.sizes)]
         self.ids = Ragged([[own[i]] if i in own else word for i, word in enumerate(words)], np.int32)
-        self.opens = np.zeros(len(self.ids.flat), bool)  # where a new word begins: its space comes first
-        self.opens[self.ids.starts[[i for i, word in enumerate(words) if word[:1] == [32]]]] = True
 
 
 def sequences(raw: np.ndarray, ends: np.ndarray, subwords: Subwords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts as one array of ids, each between two END ids; where each begins; places of ids that open words."""
+    """All texts as one array of ids, each between two END ids; where each begins; the places of all other ids."""
     at = subwords.ids.places(raw)
     size = np.r_[0, np.cumsum(subwords.ids.sizes[raw])][ends]
     begins = size[:-1] + 2 * np.arange(len(ends) - 1)
@@ -126,7 +124,7 @@ def sequences(raw: np.ndarray, ends: np.ndarray, subwords: Subwords) -> tuple[np
     inside[begins] = False
     inside[begins + np.diff(size) + 1] = False
     out[inside] = subwords.ids.flat[at]
-    return out, np.r_[begins, len(out)], np.flatnonzero(inside)[subwords.opens[at]]
+    return out, np.r_[begins, len(out)], np.flatnonzero(inside)
 
 
 def windows(begins: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,16 +147,15 @@ def pair_counts(ids: DataFrame, subwords: Subwords) -> np.ndarray:
     """How often each id follows each other one; TOKENS * TOKENS numbers whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(TOKENS * TOKENS, np.int32)
+        sums = np.zeros(TOKENS * TOKENS, np.int64)
         for batch in batches:
             for part in chunks_of_rows(batch, 512):
                 found, begins, _ = sequences(*unpacked(part.column("ids")), subwords)
                 cell = found[:-1].astype(np.int64) * TOKENS + found[1:]
                 cell = np.delete(cell, begins[1:-1] - 1)
-                kinds, n = np.unique(cell, return_counts=True)
-                sums[kinds] += n.astype(np.int32)
+                sums += np.bincount(cell, minlength=TOKENS * TOKENS)
         cell = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums[cell].astype(np.int64))], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums[cell])], names=["cell", "n"])
 
     sums = ids.select("ids").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(TOKENS * TOKENS)
@@ -250,10 +247,11 @@ def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return (code[first], np.add.reduceat(n, first)) if len(code) else (code, n)
 
 
-def word_codes(raw: np.ndarray, ends: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
+def word_codes(raw: np.ndarray, ends: np.ndarray, vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and first byte of each word in the decoded texts."""
     data, ends = decoded(raw, ends, vocabulary)
     start, stop, row = words(data, ends)
-    return mix(Prefix(data).spans(start, stop)), row
+    return mix(Prefix(data).spans(start, stop)), row, start
 
 
 def blended(log: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -307,17 +305,18 @@ def scores(docs: DataFrame, held_out: Column, vocabulary: str) -> DataFrame:
             for part in chunks_of_rows(batch, 256):
                 size = part.num_rows
                 raw, ends = unpacked(part.column("ids"))
-                found, begins, opens = sequences(raw, ends, subwords)
+                found, begins, own = sequences(raw, ends, subwords)
                 logs = network_logs(w, counts.value, found, begins)
-                stops = begins[1:] - 1
-                word_log = np.add.reduceat(np.r_[logs, 0.0], np.sort(np.r_[opens, stops]))
-                last = np.searchsorted(np.sort(np.r_[opens, stops]), stops)
-                end_log, word_log = word_log[last], np.delete(word_log, last)
-                code, row = word_codes(raw, ends, vocabulary)
+                end_log = logs[begins[1:] - 1]
+                code, row, start = word_codes(raw, ends, vocabulary)
+                first = np.cumsum(spelling(vocabulary).sizes[raw]) - spelling(vocabulary).sizes[raw]
+                word = np.searchsorted(start - 1, first, side="right") - 1  # the space before a word is its own
+                word = np.repeat(word, subwords.ids.sizes[raw])
+                word_log = np.bincount(word, weights=logs[own], minlength=len(code)).astype(float)
                 at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
                 hit = codes[at] == code if len(codes) else np.zeros(len(code), bool)
                 n = times[at[hit]]
-                sums = lambda rows, x: np.bincount(rows, weights=x, minlength=size)
+                sums = lambda rows, x: np.bincount(rows, weights=x, minlength=size).astype(float)
                 worth, end_worth = np.log10(n + 0.5) - part_of, np.full(size, np.log10(texts + 0.5) - part_of)
                 base = sums(row[hit], worth) + end_worth
                 mixed = sums(row[hit], blended(word_log[hit], worth)) + blended(end_log, end_worth)
