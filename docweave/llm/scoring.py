@@ -2,9 +2,9 @@
 
 The model is a causal self-attention network over subword ids. Its direct path from one id to the next is set
 from counts over all training text; attention, hidden layer and outputs learn the rest by gradient steps in
-numpy. Learners train on their own share of a hash-chosen part of the training windows, from a common start (that
-part grows as the square root of the text, as a network of fixed size has learned what it can hold);
-their weights are averaged after each round. Documents are scored in overlapping windows: each window
+numpy. Learners train on their own share of the training windows, from a common start; their weights are averaged
+after each round. All training windows are learned from, each in one round by one learner: more text means more
+learners. Documents are scored in overlapping windows: each window
 re-reads the last ids of the one before as context and scores only new ones, so every id counts once.
 
 The base is a smoothed unigram model over whole words. The score of a word is the network's probability of its
@@ -29,9 +29,8 @@ from docweave.llm.packing import byte_letters, tokenizer
 from docweave.llm.shared import Store, chunks
 from docweave.llm.spans import Prefix, mix, words
 
-STRIDE = 28
+STRIDE = 26
 END = TOKENS - 1
-PORTION = 80.0  # of n training windows, about PORTION * sqrt(n) are learned from, all if they are fewer
 ROUNDS = 4
 LEARNER_WINDOWS = 16_384
 FREQUENT = 1 << 18
@@ -170,23 +169,21 @@ def chunks_of_rows(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
 def fit(ids: DataFrame, subwords: Subwords, counts, store: Store) -> dict[str, np.ndarray]:
     """Weights after ROUNDS rounds of learning on disjoint parts of the windows, averaged after each."""
 
-    n = ids.agg(F.coalesce(F.sum(F.ceil((F.octet_length("ids") / 2 + 1) / WINDOW)), F.lit(0))).first()[0]
-    limit = np.uint64(min(1.0, PORTION / max(1, n) ** 0.5) * (2.0**64 - 2048))
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks_of_rows(batch, 512):
                 found, begins, _ = sequences(*unpacked(part.column("ids")), subwords)
                 row, first, end = windows(begins, WINDOW)
                 spot = mix(mix(part.column("row_key").to_numpy().view(np.uint64)[row]) + (first - begins[row]).astype(np.uint64))
-                taken = np.flatnonzero(spot <= limit)
-                ids_, inside = cut(found, first[taken], end[taken])
-                ids_[:, 1:][~inside] = TOKENS  # outside the text
-                spot = mix(spot[taken], 3).view(np.int64)
-                rows = [x.tobytes() for x in ids_.astype("<u2")]
-                yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(rows, pa.binary())], names=["spot", "ids"])
-
-    taken = store.put(ids.select("row_key", "ids").mapInArrow(sample, "spot long, ids binary"), "windows")
+                spot = mix(spot, 3).view(np.int64)
+                for at in range(0, len(row), 8192):
+                    mine = slice(at, at + 8192)
+                    ids_, inside = cut(found, first[mine], end[mine])
+                    ids_[:, 1:][~inside] = TOKENS  # outside the text
+                    rows = [x.tobytes() for x in ids_.astype("<u2")]
+                    yield pa.RecordBatch.from_arrays([pa.array(spot[mine]), pa.array(rows, pa.binary())], names=["spot", "ids"])
+
+    taken = store.put(ids.select("row_key", "ids").mapInArrow(every, "spot long, ids binary"), "windows")
     n = taken.count()
     learners = max(1, -(-n // (ROUNDS * LEARNER_WINDOWS)))
     weights = attention.flat(attention.fresh())

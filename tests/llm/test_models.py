@@ -87,6 +87,23 @@ def test_scores(spark, odd, none):
     assert scoring.scores(none, F.lit(False), vocabulary()).collect() == []
 
 
+def test_all_windows_are_learned_from(spark):
+    ids = spark.range(9000).select(F.xxhash64("id").alias("row_key"), F.unhex(F.lit("05000600")).alias("ids"))
+    long = spark.range(1).select(F.lit(1).cast("long").alias("row_key"), F.unhex(F.repeat(F.lit("0700"), F.lit(3199))).alias("ids"))
+    seen = np.zeros(1 << 16)
+    seen[5:8] = 1
+    subwords = scoring.Subwords(seen, vocabulary())
+    counts = spark.sparkContext.broadcast(attention.direct(np.zeros((attention.TOKENS, attention.TOKENS))))
+    store = scoring.Store(spark, "test")
+    per_id = int(subwords.ids.sizes[7])
+    weights = scoring.fit(ids.union(long), subwords, counts, store)
+    windows = store.get("windows")
+    assert windows.count() == 9000 + -(-(3199 * per_id + 1) // attention.WINDOW)
+    assert windows.select("spot").distinct().count() == windows.count()
+    assert np.isfinite(weights).all() and (attention.shaped(weights)["class"] != 0).any()
+    assert attention.WINDOW - scoring.STRIDE >= 6
+
+
 def test_classifier(spark, odd, none):
     pick = random.Random(3)
     docs, labels = [], []
