@@ -123,6 +123,23 @@ def test_classifier(spark, odd, none):
     assert found.columns == [*odd.columns, "log_ratio", "kept"] and found.count() == odd.count()
 
 
+def test_toxic_documents_go(spark):
+    pick = random.Random(4)
+    docs, labels = [], []
+    for i in range(600):
+        words = [pick.choice(["tree", "lake", "walks", "under", "a", "the", "hill", "green"]) for _ in range(pick.choice([12, 40, 900]))]
+        if i % 6 == 0:
+            words[pick.randrange(len(words))] = pick.choice(["scumbag", "filth"])
+        docs.append((i, " ".join(words)))
+        if i % 4 < 2:
+            labels.append((i, 1, int(i % 6 == 0)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = quality.classify(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(rows) == 600 and not any(r.kept for r in rows if r.doc_id % 6 == 0)
+    assert sum(r.kept for r in rows if r.doc_id % 6) >= 250
+    assert sum(r.kept for r in rows) > 0
+
+
 def test_kth_largest(spark):
     values = [0.5, 0.5, 0.5, 1.0, -3.0, 2.25, 2.25, 1e-9]
     rows = spark.createDataFrame([(v,) for v in values], "x double")
