@@ -425,13 +425,15 @@ def i93_grader(spark, folder):
 )
 def i95_96_planner_replies(spark, folder):
     line = F.regexp_replace(F.substring_index("text", "\n", 1), r"^\s+|\s+$", "")
+    rest = F.regexp_replace("text", r"\A[^\n]*", "")
     k = F.col("doc_id") % 5
-    raw = (
+    raw = F.concat(
         F.when(k == 0, F.concat(F.lit("INTENT: research\nQUERY: "), line))
         .when(k == 1, F.concat(F.lit('Intent:  RESEARCH\nquery: "'), line, F.lit('" AND (more) NOT [less]')))
-        .when(k == 2, F.lit("INTENT: symptom\nQUERY: none"))
+        .when(k == 2, F.concat(F.lit("INTENT: symptom\nQUERY: none\n"), line))
         .when(k == 3, F.concat(F.lit("no intent here\nQUERY: "), line))
-        .otherwise(F.lit("INTENT: CONVERSATIONAL\nQUERY: NONE"))
+        .otherwise(F.concat(F.lit("INTENT: CONVERSATIONAL\nQUERY: NONE\n"), line)),
+        rest,
     )
     parsed = table(spark, folder, "documents").select(
         "doc_id", parsing.planner_reply(raw, F.lit("fallback text")).alias("p")
@@ -449,7 +451,7 @@ def i95_96_planner_replies(spark, folder):
 )
 def i97_98_grader_replies(spark, folder):
     letters = F.lower(F.regexp_replace("text", "[^A-Za-z ]", " "))
-    some = F.array_join(F.slice(F.filter(F.split(letters, " +"), lambda w: w != ""), 1, 20), " ")
+    some = F.array_join(F.filter(F.split(letters, " +"), lambda w: w != ""), " ")
     k = F.col("doc_id") % 4
     raw = (
         F.when(k == 0, F.lit("VERDICT: YES\nQUERY: NONE"))
@@ -476,7 +478,7 @@ def i99_100_clarifier_replies(spark, folder):
 
     rows = F.filter(F.transform(F.split("text", "\n"), strip), lambda s: (s != "") & ~s.rlike(parsing.BULLET))
     marks = F.array(*[F.lit(m) for m in ("- ", "* ", "• ", "4. ", "5) ", "-")])
-    listed = F.array_join(F.transform(F.slice(rows, 1, 6), lambda s, i: F.concat(F.get(marks, i), s)), "\n")
+    listed = F.array_join(F.transform(rows, lambda s, i: F.concat(F.get(marks, i % 6), s)), "\n")
     flag = F.when(F.col("doc_id") % 3 == 0, "YES").otherwise("NO")
     raw = F.concat(F.lit("NEED_MORE: "), flag, F.lit("\nQUESTIONS:\n- NONE\n"), listed)
     parsed = table(spark, folder, "documents").select("doc_id", parsing.clarifier_reply(raw, 4).alias("p"))
