@@ -87,6 +87,16 @@ def test_scores(spark, odd, none):
     assert scoring.scores(none, F.lit(False), vocabulary()).collect() == []
 
 
+def test_network_alone_beats_the_base(spark):
+    pick = random.Random(2)
+    words = ["one", "two", "three", "four", "five", "six", "seven", "eight"]
+    docs = [(i, " ".join(words[(at + k) % 8] for k in range(pick.randrange(20, 60)))) for i in range(200) for at in [pick.randrange(8)]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    out = scoring.scores(frame, F.col("doc_id") % 5 == 1, vocabulary()).where("held_out").collect()
+    assert len(out) == 40 and all(r.network_score < 0 for r in out)
+    assert sum(r.network_score for r in out) > sum(r.base_score for r in out)
+
+
 def test_all_windows_are_learned_from(spark):
     ids = spark.range(9000).select(F.xxhash64("id").alias("row_key"), F.unhex(F.lit("05000600")).alias("ids"))
     long = spark.range(1).select(F.lit(1).cast("long").alias("row_key"), F.unhex(F.repeat(F.lit("0700"), F.lit(3199))).alias("ids"))
