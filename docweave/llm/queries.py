@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import exact, forest, lines, mixing, packing, quality, scoring, sharding, sketching, suffixes
+from docweave.llm import bpe, exact, forest, lines, mixing, packing, quality, rtree, scoring, sharding, sketching, suffixes, variants
 
 QUERIES, ORACLES = {}, {}
 
@@ -94,3 +94,33 @@ def op2_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 def op1_attention(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     return scoring.scores(documents(spark, folder), held_out, vocabulary())
+
+
+@query("op11_variants", variants.ORACLE_SQL)
+def op11_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(documents(spark, folder))
+
+
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = bpe.decode(bpe.encode(documents(spark, folder), ranks, public_tokenizers.PATTERN), ranks)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op13_negatives", rtree.ORACLE_SQL)
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole numbers of 1/256; every seventh label is one off, so that some nearest rows carry another label."""
+    value = F.col("embedding").cast("array<double>")
+    finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").where(finite).select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform(value, lambda x: F.floor(x * 256.0)).alias("vector"),
+    )
+    return rtree.hard_negatives(rows, F.col("vec_id") % 50 == 0)
