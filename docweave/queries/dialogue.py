@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import parsing, rules
 from docweave.operators import agent, embedding, gateway, history, language, rails
+from docweave.operators.unfold import unfold
 from docweave.queries.common import WS, query, sql_strip, table
 from docweave.queries.retrieval import MESSAGES_SQL, _sql_contains, error_messages, sql_vectors
 from docweave.streaming import folds, live
@@ -25,25 +26,28 @@ def _sql_list(values):
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+ADDED = 1_000_000_000  # ids of rows put in besides the given ones
 TALK_SQL = f"""
+opened AS (
+  SELECT conv_id * 1000 + turn AS id, conv_id, turn, text, k, {_sql_list(OPENINGS)}[CAST(k AS INT) + 1] AS o
+  FROM (SELECT *, (conv_id * 7 + turn) % {len(OPENINGS)} AS k FROM conversations)),
 talk AS (
-  SELECT conv_id * 1000 + turn AS id, conv_id, turn,
-         CASE WHEN k IN ({', '.join(map(str, WHOLE))}) THEN o WHEN (conv_id + turn) % 41 = 0 THEN repeat(text, 60)
-              ELSE o || text END AS text
-  FROM (SELECT *, {_sql_list(OPENINGS)}[CAST(k AS INT) + 1] AS o
-        FROM (SELECT *, (conv_id * 7 + turn) % {len(OPENINGS)} AS k FROM conversations)))"""
+  SELECT id, conv_id, turn, CASE WHEN (conv_id + turn) % 41 = 0 THEN repeat(text, 60) ELSE o || text END AS text FROM opened
+  UNION ALL SELECT id + {ADDED}, conv_id, turn, o FROM opened WHERE k IN ({', '.join(map(str, WHOLE))}))"""
 
 
 def talk(spark, folder):
+    """Every message behind an opening, and besides them the openings that are whole messages."""
     k = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(OPENINGS)))
     opening = F.get(F.array(*[F.lit(o) for o in OPENINGS]), k.cast("int"))
-    text = (
-        F.when(k.isin(WHOLE), opening)
-        .when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(41)) == 0, F.repeat("text", F.lit(60)))
-        .otherwise(F.concat(opening, "text"))
-    )
-    return table(spark, folder, "conversations", "conv_id", "turn", "text", heavy=True).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", text.alias("text")
+    long = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(41)) == 0
+    text = F.when(long, F.repeat("text", F.lit(60))).otherwise(F.concat(opening, "text"))
+    own = F.struct(F.lit(0).alias("more"), text.alias("text"))
+    rows = F.when(k.isin(WHOLE), F.array(own, F.struct(F.lit(ADDED).alias("more"), opening.alias("text")))).otherwise(F.array(own))
+    given = table(spark, folder, "conversations", "conv_id", "turn", "text", heavy=True)
+    every = unfold(given, rows, "m", "conv_id", "turn")
+    return every.select(
+        (F.col("conv_id") * 1000 + F.col("turn") + F.col("m.more")).alias("id"), "conv_id", "turn", F.col("m.text").alias("text")
     )
 
 
@@ -104,16 +108,21 @@ def _renamed(sql, prefix):
 
 
 SHORT_SQL = f"""
-short AS (SELECT id, CASE WHEN id % 4 = 0 THEN e[CAST(id % len(e) AS INT) + 1] || ' now' ELSE text END AS text
-          FROM talk, (SELECT list(t ORDER BY n) AS e FROM (VALUES {EXAMPLE_ROWS}) v(n, i, t)))"""
+short AS (
+  SELECT id, text FROM talk
+  UNION ALL
+  SELECT id + {2 * ADDED}, e[CAST(id % len(e) AS INT) + 1] || ' now'
+  FROM talk, (SELECT list(t ORDER BY n) AS e FROM (VALUES {EXAMPLE_ROWS}) v(n, i, t)) WHERE id % 4 = 0)"""
 
 
 def _short(spark, folder):
-    """Every fourth message is close to one of the examples."""
+    """All messages, and for every fourth another one that is close to one of the examples."""
     examples = [t for texts in rails.EXAMPLES.values() for t in texts]
     own = F.get(F.array(*[F.lit(e) for e in examples]), F.pmod("id", F.lit(len(examples))).cast("int"))
-    text = F.when(F.pmod("id", F.lit(4)) == 0, F.concat(own, F.lit(" now"))).otherwise(F.col("text"))
-    return talk(spark, folder).select("id", text.alias("text"))
+    given = F.struct(F.lit(0).cast("bigint").alias("more"), F.col("text").alias("text"))
+    near = F.struct(F.lit(2 * ADDED).cast("bigint").alias("more"), F.concat(own, F.lit(" now")).alias("text"))
+    rows = F.when(F.pmod("id", F.lit(4)) == 0, F.array(given, near)).otherwise(F.array(given))
+    return unfold(talk(spark, folder), rows, "m", "id").select((F.col("id") + F.col("m.more")).alias("id"), F.col("m.text").alias("text"))
 
 
 @query(

@@ -55,26 +55,29 @@ def i02_dispatch(spark, folder):
     return docs.union(pages).withColumn("loader", files.loader_of(F.col("name")))
 
 
+BLANK_FILES = 1_000_000_000  # ids of blank files put in besides the given documents
+
+
 @query(
     "i03_text_scan",
     f"""
     WITH scanned AS (
-      SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '  ' || chr(10) ELSE text || chr(65533) || 'tail' END AS t
-      FROM documents)
+      SELECT doc_id, text || chr(65533) || 'tail' AS t FROM documents
+      UNION ALL SELECT doc_id + {BLANK_FILES}, '  ' || chr(10) FROM documents WHERE doc_id % 7 = 0)
     SELECT doc_id, CASE WHEN {sql_strip("t")} = '' THEN NULL ELSE md5(t) END AS text_md5,
            CASE WHEN {sql_strip("t")} = '' THEN 'extraction failed: doc_' || doc_id || '.txt is empty.' END AS error
     FROM scanned""",
 )
 def i03_text_scan(spark, folder):
-    content = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.encode(F.lit("  \n"), "UTF-8")).otherwise(
-        F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.lit("tail"), "UTF-8"))
-    )
-    scanned = table(spark, folder, "documents").select(
-        "doc_id",
-        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
-        content.alias("content"),
-    )
-    loaded = files.load_text(scanned)
+    """Every document with a byte that is no UTF-8, and besides them some blank files."""
+    whole = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")), F.encode(F.lit("tail"), "UTF-8"))
+    own = F.struct(F.lit(0).alias("more"), whole.alias("content"))
+    blank = F.struct(F.lit(BLANK_FILES).alias("more"), F.encode(F.lit("  \n"), "UTF-8").alias("content"))
+    rows = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.array(own, blank)).otherwise(F.array(own))
+    every = unfold(table(spark, folder, "documents"), rows, "f", "doc_id")
+    scanned = every.select((F.col("doc_id") + F.col("f.more")).alias("doc_id"), F.col("f.content").alias("content"))
+    named = scanned.withColumn("filename", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    loaded = files.load_text(named)
     return loaded.select("doc_id", F.md5(F.get("pages", F.lit(0))["text"]).alias("text_md5"), "error")
 
 
@@ -187,11 +190,11 @@ def i13_manifest_scan(spark, folder):
 @query(
     "i14_dataset_scan",
     """
-    SELECT item_id AS id, left(text, 40) AS question, 'bench_' || item_id || '.txt' AS source_doc,
+    SELECT item_id AS id, text AS question, 'bench_' || item_id || '.txt' AS source_doc,
            CAST(2 AS INT) AS n_contexts
     FROM benchmark
     UNION ALL
-    SELECT item_id + 1000000, 'q ' || left(text, 40), 'none', 0 FROM benchmark""",
+    SELECT item_id + 1000000, 'q ' || text, 'none', 0 FROM benchmark""",
 )
 def i14_dataset_scan(spark, folder):
     """Nested evaluation files (two samples each) unfolded into sample rows."""
@@ -203,12 +206,11 @@ def i14_dataset_scan(spark, folder):
             contexts.cast("array<string>").alias("relevant_contexts"),
         )
 
-    head = F.left("text", F.lit(40))
     named = F.concat(F.lit("bench_"), F.col("item_id").cast("string"), F.lit(".txt"))
     nested = F.to_json(
         F.struct(
             F.array(
-                sample(0, head, named, F.array("text", head)), sample(1000000, F.concat(F.lit("q "), head), F.lit("none"), F.array())
+                sample(0, F.col("text"), named, F.array("text", "text")), sample(1000000, F.concat(F.lit("q "), "text"), F.lit("none"), F.array())
             ).alias("rag_samples")
         )
     )
