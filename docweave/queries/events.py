@@ -104,7 +104,7 @@ def e_late_rows(spark, folder):
 SESSION_SQL = f"""
 WITH marked AS (
   SELECT user_id, epoch_us(ts) AS us, CAST(round(value * 100) AS BIGINT) AS cents,
-    CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < {DAY // 4} THEN 0 ELSE 1 END AS fresh
+    CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= {DAY // 4} THEN 0 ELSE 1 END AS fresh
   FROM events),
 numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS number FROM marked),
 sessions AS (

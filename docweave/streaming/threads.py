@@ -79,7 +79,7 @@ def idle_threads(rows: DataFrame, key: str, time: str, ttl: str, delay: str = "0
 
 def _ended(given: DataFrame, ttl_us: int, delay: str) -> DataFrame:
     """Sessions merged per task first, so that a busy thread is many rows in no task."""
-    spans = given.groupBy("thread", F.session_window("at", f"{ttl_us + 1} microseconds").alias("s")).agg(
+    spans = given.groupBy("thread", F.session_window("at", f"{ttl_us} microseconds").alias("s")).agg(
         F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"), F.count("*").alias("n_messages")
     )
     mark = given.agg(F.unix_micros(F.max("at") - F.expr(f"INTERVAL {delay}"))).first()[0]  # one number

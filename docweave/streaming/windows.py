@@ -36,7 +36,7 @@ def windows(
 
 
 def sessions(rows: DataFrame, time: str, gap: str, keys: list[str], measures: list[Column], delay: str | None = None) -> DataFrame:
-    """session_start, session_end, keys, measures: rows of a key no further apart than `gap` (the end is last + gap).
+    """session_start, session_end, keys, measures: rows of a key at most `gap` apart (the end is last + gap).
 
     Sessions are merged inside each task before the shuffle, so that a key with very many rows arrives as few sessions.
     """
@@ -120,7 +120,9 @@ def interval_join(
             same = same & (F.col(k) == F.col(r))
         inside = same & (F.col(end) >= earliest) & (F.col(end) <= last)
         return a.join(b, inside, {"left": "left_outer"}.get(how, how)).drop("_part", "_other", *renamed.values())
-    return _binned(left, right, keys, begin, end, earliest, last, low, high, how, row_id, heavy)
+    alone = F.exists(F.array(*[F.col(c).isNull() for c in (begin, *keys)]), lambda x: x)  # these meet nothing
+    joined = _binned(left.where(~alone), right, keys, begin, end, earliest, last, low, high, how, row_id, heavy)
+    return joined if how == "inner" else joined.unionByName(left.where(alone), allowMissingColumns=True)
 
 
 def _binned(left, right, keys, begin, end, earliest, last, low, high, how, row_id, heavy) -> DataFrame:
