@@ -243,6 +243,7 @@ def _records(names, documents, judged, chunked, lost, demoted, state, backend, m
         "filename", "file_hash", F.lit("duplicate").alias("status"), F.col("canonical").alias("duplicate_of"), now.alias("ingested_at")
     )
     old = state.join(demoted.select("filename", F.col("duplicate_of").alias("_twin")), "filename")
+    old = old.join(copies.select("filename"), "filename", "left_anti")  # one record each
     demotions = old.withColumns(
         {"status": F.lit("duplicate"), "duplicate_of": F.col("_twin"), "points": F.lit(0)}
     ).drop("_twin")
