@@ -7,9 +7,9 @@ after each round. All training windows are learned from, each in one round by on
 learners. Documents are scored in overlapping windows: each window
 re-reads the last ids of the one before as context and scores only new ones, so every id counts once.
 
-The base is a smoothed unigram model over whole words. The score of a word is the network's probability of its
-ids in context, interpolated half and half with the base, in whose terms all words that training text lacks are
-one. Counts of frequent words come from a table of bounded size, those of rare ones by a join.
+The score of a text is the network's log10 probability of all its ids and its end, by the chain rule. The base is a
+smoothed unigram model over whole words; `mixed_score` interpolates both half and half, word by word. Counts of frequent
+words come from a table of bounded size, those of rare ones by a join.
 """
 
 from __future__ import annotations
@@ -259,11 +259,11 @@ def blended(log: np.ndarray, base: np.ndarray) -> np.ndarray:
 
 
 def scores(docs: DataFrame, held_out: Column, vocabulary: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, network_score: one row for each of `docs`.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score: one row for each of `docs`.
 
-    Reads doc_id and text; `held_out` tells which rows are only scored (null: learned from). Scores are log10
-    probabilities of the text with A-Z as a-z and words apart by one space, its end included; `network_score` is
-    the network's alone. A null text is empty: its end alone. Rows equal in id and text have equal scores.
+    Reads doc_id and text; `held_out` tells which rows are only scored (null: learned from). `score` is the network's
+    log10 probability of the text with A-Z as a-z and words apart by one space, its end included; `mixed_score` blends it
+    with the base word by word and is no probability of its own. A null text is empty: its end alone. Rows equal in id and text have equal scores.
     Without training text the network is untrained and the base knows no word. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -289,7 +289,11 @@ def scores(docs: DataFrame, held_out: Column, vocabulary: str) -> DataFrame:
     texts = learned.count()
     total, kinds = vocabulary_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, kinds = int(total) + texts, int(kinds) + (texts > 0)
-    frequent = vocabulary_counts.orderBy(F.desc("n"), "code").limit(FREQUENT).toArrow()
+    # The cut is a power of two found from 64 sums, so that no task sorts the words of all others.
+    size = F.floor(F.log2("n")).cast("int")
+    held = {r["size"]: r["count"] for r in vocabulary_counts.groupBy(size.alias("size")).count().collect()}
+    cut = min((b for b in range(64) if sum(n for k, n in held.items() if k >= b) <= FREQUENT), default=63)
+    frequent = vocabulary_counts.where(size >= cut).toArrow()  # at most FREQUENT rows
     order = np.argsort(frequent.column("code").to_numpy().view(np.uint64))
     often = spark.sparkContext.broadcast(
         (frequent.column("code").to_numpy().view(np.uint64)[order], frequent.column("n").to_numpy()[order])
@@ -347,8 +351,8 @@ def scores(docs: DataFrame, held_out: Column, vocabulary: str) -> DataFrame:
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", zero)).alias("base_score"),
-        (F.col("mixed") + F.coalesce("words", zero)).alias("score"),
-        "network_score",
+        F.col("network_score").alias("score"),
+        (F.col("mixed") + F.coalesce("words", zero)).alias("mixed_score"),
     )
 
 

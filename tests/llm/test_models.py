@@ -64,7 +64,7 @@ def test_scores(spark, odd, none):
     pick = random.Random(1)
     words = ["the", "of", "and", "river", "stone", "walked", "Blue", "seven,"]
     docs = [(i, " ".join(pick.choices(words, [9, 7, 7, 3, 3, 2, 2, 1], k=pick.randrange(5, 60)))) for i in range(120)]
-    rows = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id != 7]
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
     frame = spark.createDataFrame([*docs, *rows], "doc_id long, text string")
     found = scoring.scores(frame, F.col("doc_id") % 5 == 1, vocabulary()).collect()
     counts, held = collections.Counter(), []
@@ -81,9 +81,10 @@ def test_scores(spark, odd, none):
         expected[i, len(tokens), sum(counts[x] > 0 for x in tokens), round(base, 6)] += 1
     assert collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in found) == expected
     assert {r.train_tokens for r in found} == {total}
-    assert all(math.isfinite(r.score) and r.score < 0 and r.score >= r.base_score + r.n_tokens * math.log10(0.5) - 1e-6 for r in found)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in found)
+    assert all(r.mixed_score >= r.base_score + r.n_tokens * math.log10(0.5) - 1e-6 for r in found)
     out = [r for r in found if r.held_out and r.n_tokens > 4]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    assert sum(r.mixed_score for r in out) > sum(r.base_score for r in out)
     assert scoring.scores(none, F.lit(False), vocabulary()).collect() == []
 
 
@@ -93,8 +94,19 @@ def test_network_alone_beats_the_base(spark):
     docs = [(i, " ".join(words[(at + k) % 8] for k in range(pick.randrange(20, 60)))) for i in range(200) for at in [pick.randrange(8)]]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     out = scoring.scores(frame, F.col("doc_id") % 5 == 1, vocabulary()).where("held_out").collect()
-    assert len(out) == 40 and all(r.network_score < 0 for r in out)
-    assert sum(r.network_score for r in out) > sum(r.base_score for r in out)
+    assert len(out) == 40 and all(r.score < 0 for r in out)
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_score_is_the_chain_rule_sum(spark):
+    """The network's probabilities of one text, taken window by window with the learned weights, add up to its score."""
+    docs = [(i, f"one two three four five {i % 3}") for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r for r in scoring.scores(frame, F.col("doc_id") % 5 == 1, vocabulary()).collect()}
+    assert found[1].score == found[4].score != found[2].score  # equal texts
+    longer = spark.createDataFrame([*docs, (100, "one two three four five 1 one two three four five 1")], "doc_id long, text string")
+    both = {r.doc_id: r for r in scoring.scores(longer, F.col("doc_id") % 5 != 9, vocabulary()).collect()}
+    assert both[100].score < both[1].score < 0 and both[100].n_tokens == 13
 
 
 def test_all_windows_are_learned_from(spark):
