@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from docweave.operators.ordering import Ordered
 from docweave.queries.common import query, table
 from docweave.session import shared_folder
 from docweave.sources.versions import Tables
@@ -202,3 +203,18 @@ def e_idle_threads(spark, folder):
 @query("e_idle_threads_stream", IDLE_SQL)
 def e_idle_threads_stream(spark, folder):
     return _fed(spark, folder, "threads", "in_order", lambda feed: threads.idle_threads(feed.stream(), "user_id", "ts", TTL))[0]
+
+
+@query(
+    "e_global_order",
+    """
+    SELECT event_id, row_number() OVER o AS position, CAST(ntile(7) OVER o AS INT) AS tile,
+           lag(event_id, 1) OVER o AS before, lead(event_id, 3) OVER o AS after, lag(value, 2) OVER o AS value_before
+    FROM events WINDOW o AS (ORDER BY value DESC, event_id)""",
+)
+def e_global_order(spark, folder):
+    """Position, n-tile and neighbours of every event in one order of all."""
+    rows = table(spark, folder, "events", "event_id", "value")
+    placed = Ordered(rows, [F.desc("value"), "event_id"])
+    near = placed.neighbours({"before": ("event_id", -1), "after": ("event_id", 3), "value_before": ("value", -2)})
+    return placed.positions().drop("value").join(placed.tiles(7).drop("value"), "event_id").join(near.drop("value"), "event_id")
