@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from itertools import pairwise
 
 import pyarrow as pa
@@ -176,6 +176,18 @@ def page_label(start: Column, end: Column) -> Column:
     )
 
 
+def locate(text: str, parts: Sequence[str], overlap: int) -> list[int]:
+    """The places of `positions` for one text."""
+    found, cursor = [], 0
+    for part in parts:
+        tries = ((part, cursor), (part, 0), (part[:PROBE_CHARS], cursor))
+        at = next((p for p in (text.find(*t) for t in tries) if p >= 0), -1)
+        found.append(at)
+        if at >= 0:
+            cursor = at + max(1, len(part) - overlap)
+    return found
+
+
 def positions(full: Column, chunks: Column, overlap: int) -> Column:
     """Where each chunk lies in the text, -1 if nowhere.
 
@@ -185,16 +197,7 @@ def positions(full: Column, chunks: Column, overlap: int) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def find(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        rows = []
-        for text, parts in zip(texts.to_pylist(), lists.to_pylist()):
-            found, cursor = [], 0
-            for part in parts or ():
-                tries = ((part, cursor), (part, 0), (part[:PROBE_CHARS], cursor))
-                at = next((p for p in (text.find(*t) for t in tries) if p >= 0), -1)
-                found.append(at)
-                if at >= 0:
-                    cursor = at + max(1, len(part) - overlap)
-            rows.append(found)
+        rows = [locate(text, parts or (), overlap) for text, parts in zip(texts.to_pylist(), lists.to_pylist())]
         return pa.array(rows, pa.list_(pa.int32()))
 
     return find(full, chunks)

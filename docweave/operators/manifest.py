@@ -103,5 +103,19 @@ def summary(manifest: DataFrame) -> DataFrame:
     return counted.withColumn("status", F.when(F.col("_all") == 1, "all").otherwise(F.col("status"))).drop("_all")
 
 
+def summary_sets(manifest: DataFrame, by: list[str]) -> DataFrame:
+    """Files, chunks and points for every combination of the columns `by`, and for all without some or any of them.
+
+    One pass: a row is expanded into its sets and reduced per task before the shuffle. `level` tells which columns a row
+    leaves out, bit by bit from the last one, so that a null of the data is not taken for one of them.
+    """
+    return manifest.cube(*by).agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.count("*").alias("files"),
+        F.sum("chunks").cast("bigint").alias("chunks"),
+        F.sum("points").cast("bigint").alias("points"),
+    )
+
+
 def indexed_sources(manifest: DataFrame) -> DataFrame:
     return manifest.where(F.col("status") == "ok").select("filename")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.operators import manifest, store
+from docweave.operators import manifest, sketches, store
 from docweave.session import written
 from docweave.sources.versions import Tables
 
@@ -33,15 +33,22 @@ class Versioned:
         change.properties["dim"] = dim
         if wipe:
             change.overwrite("points", points, "source")
+            change.overwrite("sketches", sketches.of_sources(points), "source")
             change.overwrite("state", records, "filename")
         else:
             change.replace("points", points, touched, "source", ["id"])
+            change.replace("sketches", sketches.of_sources(points), touched, "source", ["source"])
             change.replace("state", records, records.select("filename"), "filename", ["filename"])
         return self.tables.read("state", change.commit("wiped" if wipe else "ingested"))
 
     def points(self, version: int | None = None) -> DataFrame | None:
         return self.tables.read("points", version)
 
+    def overview(self, version: int | None = None) -> DataFrame | None:
+        """Chunks, distinct texts and quantiles of chunk lengths of a version, from the sketches of its sources."""
+        held = self.tables.read("sketches", version)
+        return None if held is None else sketches.overview(sketches.merged(held))
+
 
 class PlainFiles:
     """Each in a plain parquet folder that every run rewrites as a whole: for small tables that other tools read."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions import ids
+from docweave.functions import tables
 from docweave.functions import text as tx
-from docweave.operators import chunking, cleaning, dedup, manifest, store
+from docweave.operators import chunking, cleaning, dedup, manifest, sketches, store
 from docweave.operators.unfold import unfold
 from docweave.queries.common import (
     PAGE_NUMBER_RE2,
@@ -422,6 +423,24 @@ def i41_window_chunks(spark, folder):
     return kept.select("doc_id", "idx", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
+@query(
+    "i41_window_sql",
+    f"""
+    WITH {WINDOWS_SQL}
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INT) AS idx,
+           length(piece) AS n_chars, md5(piece) AS text_md5
+    FROM windows WHERE length(piece) >= {MIN_CHARS}""",
+)
+def i41_window_sql(spark, folder):
+    """The windows as Spark SQL: a lateral join with a table function."""
+    tables.register(spark)
+    return spark.sql(
+        f"""SELECT d.doc_id, c.chunk_index AS idx, CAST(c.char_count AS BIGINT) AS n_chars, md5(c.text) AS text_md5
+        FROM {{docs}} d, LATERAL window_chunks(d.text, {SIZE}, {OVERLAP}, {MIN_CHARS}) c""",
+        docs=table(spark, folder, "documents", "doc_id", "text", heavy=True),
+    )
+
+
 @query(
     "i42_validation",
     f"""
@@ -749,3 +768,53 @@ def i60_manifest_summary(spark, folder):
 @query("i61_indexed_sources", f"WITH {MANIFEST_SQL} SELECT filename FROM stored WHERE status = 'ok'")
 def i61_indexed_sources(spark, folder):
     return manifest.indexed_sources(_stored_manifest(spark, folder))
+
+
+CUBE_SQL = f"""
+WITH {MANIFEST_SQL},
+kinds AS (
+  SELECT s.*, ['text', 'html', 'office-docx'][CAST(d.doc_id % 3 AS INT) + 1] AS loader,
+    CASE WHEN d.doc_id % 4 > 0 THEN ['recursive', 'paragraph', 'window'][CAST(d.doc_id % 4 AS INT)] END AS strategy
+  FROM stored s JOIN documents d ON s.filename = 'doc_' || d.doc_id || '.txt')
+SELECT status, loader, strategy, CAST(grouping(status) * 4 + grouping(loader) * 2 + grouping(strategy) AS INT) AS level,
+  count(*) AS files, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(points) AS BIGINT) AS points
+FROM kinds GROUP BY CUBE (status, loader, strategy)"""
+
+
+@query("i60_summary_cube", CUBE_SQL)
+def i60_summary_cube(spark, folder):
+    """The state summed up by status, loader and strategy and all their subsets; some records have no strategy."""
+    number = F.regexp_extract("filename", r"(\d+)", 1).cast("bigint")
+    loader = F.get(F.array(*[F.lit(x) for x in ("text", "html", "office-docx")]), (number % 3).cast("int"))
+    strategy = F.get(F.array(*[F.lit(x) for x in (None, "recursive", "paragraph", "window")]), (number % 4).cast("int"))
+    stored = _stored_manifest(spark, folder).withColumns({"loader": loader, "strategy": strategy})
+    return manifest.summary_sets(stored, ["status", "loader", "strategy"])
+
+
+@query(
+    "i60_source_sketches",
+    f"""
+    WITH {WINDOWS_SQL}
+    SELECT source, count(*) AS n, count(DISTINCT piece) AS distinct_texts, true AS distinct_within, true AS median_within
+    FROM (SELECT d.source, w.piece FROM windows w JOIN documents d USING (doc_id) WHERE length(piece) >= {MIN_CHARS}) GROUP BY source""",
+)
+def i60_source_sketches(spark, folder):
+    """Distinct texts and the median length of each source from merged sketches of its documents, against the exact ones."""
+    windows = unfold(
+        table(spark, folder, "documents").select("doc_id", "source", F.filter(chunking.window_chunks(F.col("text"), SIZE, OVERLAP), lambda p: F.length(p) >= MIN_CHARS).alias("c")),
+        "c", "text", "doc_id", "source",
+    )
+    # As if ingested in two runs: sketches per source and run, then merged.
+    parts = sketches.of_sources(windows.withColumn("run", F.concat_ws(":", "source", F.col("doc_id") % 2)), "run")
+    parts = parts.withColumn("source", F.substring_index("run", ":", 1)).drop("run")
+    told = sketches.overview(sketches.merged(parts, "source"), (0.5,))
+    rows = windows.join(told.select("source", F.col("distinct_texts").alias("guess"), F.col("length_quantiles")[0].alias("median")), "source")
+    exact = rows.groupBy("source", "guess", "median").agg(
+        F.count("*").alias("n"), F.countDistinct("text").alias("distinct_texts"),
+        F.avg((F.length("text") < F.col("median")).cast("int")).alias("below"), F.avg((F.length("text") <= F.col("median")).cast("int")).alias("upto"),
+    )
+    return exact.select(
+        "source", "n", "distinct_texts",
+        (F.abs(F.col("guess") - F.col("distinct_texts")) <= sketches.DISTINCT_BOUND * F.col("distinct_texts")).alias("distinct_within"),
+        ((F.col("below") <= 0.5 + sketches.RANK_BOUND) & (F.col("upto") >= 0.5 - sketches.RANK_BOUND)).alias("median_within"),
+    )
