@@ -12,9 +12,12 @@ Texts stay where they are: no row is shuffled.
 from __future__ import annotations
 
 import base64
+import functools
+import hashlib
 import heapq
 from collections.abc import Iterator
 from itertools import chain
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from docweave.llm.spans import BASE, Prefix, mix
 
 BUCKET_KEYS = 3
 TRIES = 512
-KNOWN, KNOWN_BYTES = 1 << 18, 64  # merged pre-tokens that a task remembers, and the longest of them
+KNOWN, KNOWN_BYTES = 1 << 18, 64  # merged pre-tokens in each generation that a worker remembers, and the longest of them
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -81,7 +84,7 @@ class Vocabulary:
     """Tokens by rank, by bytes and by perfect hash; one for all texts."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.name = ranks, hashlib.sha256(repr(ranks).encode()).hexdigest()
         words, self.ids = list(ranks), np.array(list(ranks.values()), np.int32)
         data = np.frombuffer(b"".join(words), np.uint8)
         ends = np.r_[0, np.cumsum([len(w) for w in words])].astype(np.int64)
@@ -107,31 +110,65 @@ class Vocabulary:
         ids[maybe[~wrong]] = self.ids[place[maybe[~wrong]]]
         return ids
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Ids of a pre-token that is no token: a heap of pairs over its linked bytes."""
-        n, ranks = len(piece), self.ranks
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    def merged(self, piece: bytes) -> tuple[int, ...]:
+        """Ids of a pre-token that is no token: a heap of pairs over its linked bytes.
+
+        A heap entry is one number made of rank, begin and end of a pair. `after[i]` is where the part that begins at i
+        ends; a part that has gone into another ends at n, where no pair begins.
+        """
+        n, get, push, pop = len(piece), self.ranks.get, heapq.heappush, heapq.heappop
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        after, before = [*range(1, n + 1), 0], [*range(-1, n)]
+        heap = [(r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
-            if not alive[i] or after[i] == n or after[after[i]] != end:
+            item = pop(heap)
+            end, i = item & mask, item >> bits & mask
+            middle = after[i]
+            if after[middle] != end:
                 continue  # one of its halves has gone into another pair
-            alive[after[i]] = False
-            after[i] = end
-            if end < n:
-                before[end] = i
-                if (r := ranks.get(piece[i : after[end]])) is not None:
-                    heapq.heappush(heap, (r, i, after[end]))
-            if (j := before[i]) >= 0 and (r := ranks.get(piece[j:end])) is not None:
-                heapq.heappush(heap, (r, j, end))
-        return [ranks[piece[i : after[i]]] for i in range(n) if alive[i]]
-
-
-def encoded(vocabulary: Vocabulary, pattern, known: dict, column) -> tuple[np.ndarray, np.ndarray]:
+            after[middle], after[i], before[end] = n, end, i
+            if end < n and (r := get(piece[i : after[end]])) is not None:
+                push(heap, (r << bits | i) << bits | after[end])
+            j = before[i]
+            if j >= 0 and (r := get(piece[j:end])) is not None:
+                push(heap, (r << bits | j) << bits | end)
+        out, i, ranks = [], 0, self.ranks
+        while i < n:
+            out.append(ranks[piece[i : after[i]]])
+            i = after[i]
+        return tuple(out)
+
+
+class Known:
+    """Merged pre-tokens in two generations: a full one takes the place of the older, whose entries come back when met."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.merged, self.new, self.old = vocabulary.merged, {}, {}
+
+    def ids(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        new, out = self.new, []
+        for piece in pieces:
+            found = new.get(piece)
+            if found is None:
+                found = self.old.get(piece)
+                if found is None:
+                    found = self.merged(piece)
+                if len(piece) <= KNOWN_BYTES:
+                    if len(new) >= KNOWN:
+                        self.old, self.new = new, {}
+                        new = self.new
+                    new[piece] = found
+            out.append(found)
+        return out
+
+
+def encoded(vocabulary: Vocabulary, pattern, known: Known, column) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of an Arrow column, one after the other, and where each text's end."""
     data, ends = text_bytes(column)
-    cuts = [np.fromiter((m.end() for m in pattern.finditer(t)), np.int64) if t else np.zeros(0, np.int64) for t in column.to_pylist()]
+    end = methodcaller("end")
+    cuts = [np.fromiter(map(end, pattern.finditer(t)), np.int64) if t else np.zeros(0, np.int64) for t in column.to_pylist()]
     heads = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]  # where each code point begins
     base = np.searchsorted(heads, ends[:-1])
     counts = np.array([len(c) for c in cuts], np.int64)
@@ -142,17 +179,8 @@ def encoded(vocabulary: Vocabulary, pattern, known: dict, column) -> tuple[np.nd
     start = np.r_[0, stop[:-1]] if len(stop) else stop
     ids = vocabulary.whole(data, start, stop)
     missed = np.flatnonzero(ids < 0)
-    blob, found = data.tobytes(), []
-    for a, b in zip(start[missed].tolist(), stop[missed].tolist()):
-        piece = blob[a:b]
-        got = known.get(piece)
-        if got is None:
-            got = vocabulary.merged(piece)
-            if b - a <= KNOWN_BYTES:
-                if len(known) >= KNOWN:
-                    known.clear()
-                known[piece] = got
-        found.append(got)
+    blob = data.tobytes()
+    found = known.ids([blob[a:b] for a, b in zip(start[missed].tolist(), stop[missed].tolist())])
     size = np.ones(len(ids), np.int64)
     size[missed] = np.fromiter(map(len, found), np.int64, len(found))
     flat = np.repeat(ids, size)
@@ -160,6 +188,22 @@ def encoded(vocabulary: Vocabulary, pattern, known: dict, column) -> tuple[np.nd
     return flat, np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(counts)]]
 
 
+_known: dict[str, Known] = {}
+
+
+def known_to(vocabulary: Vocabulary) -> Known:
+    """What this worker process remembers of a vocabulary, from one task to the next."""
+    if vocabulary.name not in _known:
+        _known.clear()
+        _known[vocabulary.name] = Known(vocabulary)
+    return _known[vocabulary.name]
+
+
+@functools.lru_cache(maxsize=2)
+def vocabulary_of(path: str) -> Vocabulary:
+    return Vocabulary(ranks_of(path))
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id, ids (array<int>): one row for each of `docs`, in place.
 
@@ -168,13 +212,13 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     or empty text has no ids; repeated rows are encoded each; an empty table gives no rows. Texts of any length are
     encoded as a whole; equal ranks cannot occur, and of equal pairs the left one merges first.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks_of(ranks)))
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary_of(ranks))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        matcher, known = regex.compile(pattern), {}
+        matcher, known = regex.compile(pattern), known_to(sent.value)
         for batch in batches:
             for rows in chunks(batch, "text"):
                 flat, ends = encoded(sent.value, matcher, known, rows.column("text"))

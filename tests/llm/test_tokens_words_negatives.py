@@ -36,7 +36,7 @@ def test_ids_are_the_library_s():
     letters = ["a", "e", "th", "ing", "'s", "'ll", " ", "  ", "\n", "\t", "1", "23", "é", "गाय", "中", "\U0001F600", "!", "...", "\x00", "\x1c", "\xa0", "<|endoftext|>"]
     texts = ["".join(pick.choices(letters, k=pick.randrange(60))) for _ in range(2000)]
     texts += ["a" * 3000, "ab" * 2000, "é" * 999, " " * 500, "zqxj" * 300 + "\n", None, ""]
-    flat, ends = bpe.encoded(vocabulary, regex.compile(PATTERN), {}, pa.array(texts, pa.string()))
+    flat, ends = bpe.encoded(vocabulary, regex.compile(PATTERN), bpe.Known(vocabulary), pa.array(texts, pa.string()))
     model = library()
     for text, a, b in zip(texts, ends[:-1], ends[1:]):
         assert flat[a:b].tolist() == model.encode_ordinary(text or "")
@@ -45,7 +45,7 @@ def test_ids_are_the_library_s():
 def test_what_is_remembered_does_not_matter(monkeypatch):
     monkeypatch.setattr(bpe, "KNOWN", 3)
     vocabulary, texts = bpe.Vocabulary(bpe.ranks_of(RANKS)), pa.array(["qwrtz plmok zuhbg qwrtz ijnuhb okmtfc " * 5])
-    flat, _ = bpe.encoded(vocabulary, regex.compile(PATTERN), {}, texts)
+    flat, _ = bpe.encoded(vocabulary, regex.compile(PATTERN), bpe.Known(vocabulary), texts)
     assert flat.tolist() == library().encode_ordinary(texts[0].as_py())
 
 
