@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.shared import Store
+from docweave.operators.ordering import Ordered
 
 LEAF, FANOUT = 128, 16
 SHARD_ROWS, MOST_SHARDS = 16_384, 1 << 14  # the directory has a box of two vectors per shard
@@ -131,8 +132,9 @@ class Index:
         n = entries.count()
         shards = min(MOST_SHARDS, max(1, -(-n // shard_rows)))
         order = ["label", F.get("vector", F.lit(0)), F.get("vector", F.lit(1)), "entry"]
-        dealt = entries.repartitionByRange(shards, *order).withColumn("shard", F.spark_partition_id())
-        self.entries = store.put(dealt, "shards")
+        placed = Ordered(entries, order, shards).positions("shard")  # shards of equal size, however the rows are dealt
+        per = max(1, -(-n // shards))
+        self.entries = store.put(placed.withColumn("shard", F.floor((F.col("shard") - 1) / per).cast("int")), "shards")
 
         def box(rows: pa.Table) -> pa.Table:
             points, labels = matrix(rows.column("vector")), rows.column("label").to_numpy()
