@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from docweave.functions import ids
 from docweave.functions import vectors as vx
-from docweave.operators import agent, chunking, embedding, ranking, store
+from docweave.operators import agent, cells, chunking, embedding, ranking, store
 from docweave.operators.search import search, top_k
 from docweave.operators.unfold import unfold
 from docweave.queries.common import query, sql_strip, table
 from docweave.queries.ingestion import MIN_CHARS, OVERLAP, SIZE, STEP, WINDOWS_SQL
+from docweave.session import written
 
 PREFIX = f"{vx.PROVIDER}|{vx.MODEL}|{vx.DIM}|"
 BACKEND = embedding.BUILTIN
@@ -439,3 +440,25 @@ def i86_numbered_context(spark, folder):
 def i87_plain_context(spark, folder):
     packed = ranking.context(ranking.rerank(candidates(spark, folder)), 2500, numbered=False)
     return packed.select("qid", "passages_used", F.md5("context").alias("context_md5"))
+
+
+@query(
+    "i78_cells",
+    """
+    SELECT CAST(count(*) FILTER (vec_id % 20 = 0) AS BIGINT) AS questions, true AS recall_reached, true AS reads_less, true AS exact_with_all
+    FROM embeddings WHERE len(embedding) = 64""",
+)
+def i78_cells(spark, folder):
+    """The coarse index over all given vectors: measured recall of nine tenths, and the exact answer with all cells."""
+    rows = table(spark, folder, "embeddings", "vec_id", "embedding").where(F.size("embedding") == 64)
+    corpus = rows.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    asked = written(corpus.where("id % 20 = 0").withColumnRenamed("id", "qid"), "asked")
+    index = cells.CellIndex.build(corpus, 64)
+    probes, recall = index.tuned(asked, 10)
+    exact = written(top_k(asked, corpus, 64, 10).select("qid", "id"), "exact")
+    every = index.search(asked, 10, len(index.centres)).select("qid", "id")
+    missed = exact.join(every, ["qid", "id"], "left_anti").count()
+    return asked.agg(F.count("*").alias("questions")).select(
+        "questions", F.lit(recall >= 0.9).alias("recall_reached"), F.lit(index.read(asked, probes) < 1.0 or probes == len(index.centres)).alias("reads_less"),
+        F.lit(missed == 0).alias("exact_with_all"),
+    )

@@ -76,14 +76,15 @@ def stages(spark: SparkSession, *kept: str) -> Iterator[None]:
                 place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write `df` once as parquet in the shared folder and return the table read back.
 
     Used where several later steps read the same expensive intermediate result. It cuts the
-    lineage, survives lost executors and keeps column pruning for every reader.
+    lineage, survives lost executors and keeps column pruning for every reader. `by` names a column
+    whose values are folders of their own, so that readers of some of them skip the others.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     if _runs:
         _runs[-1][path] = name
     return df.sparkSession.read.schema(df.schema).parquet(path)
