@@ -124,11 +124,12 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> Data
     Reads doc_id and text, other columns are ignored. Documents are linked when the Jaccard similarity of
     their sets of `words`-word shingles is at least `threshold`; A-Z count as a-z; with fewer words the
     sequence is one shingle. A null or empty text, or one without words, has an empty set and no links. The
-    smallest id of a component stays. Rows with the same id are one document to the graph. A null id is not
-    linked: its component is null and it is kept. An empty table gives no rows.
+    smallest id of a component stays. Ids may be whole numbers or strings. Rows with the same id are one document to
+    the graph: each of its texts links it, and they link to each other. A null id is not linked: its component is
+    null and it is kept. An empty table gives no rows.
     """
     store = Store(docs.sparkSession, "near")
-    wanted = docs.select("doc_id", "text")
+    wanted = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     margin = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
@@ -148,20 +149,22 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> Data
                 sketches[some] = [x.tobytes() for x in held]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), pa.array(n.astype(np.int64)), *[pa.array(m.view(np.int64)) for m in marks],
-                        pa.array(sketches.tolist(), pa.binary()),
+                        part.column("doc_id"), part.column("text_key"), pa.array(n.astype(np.int64)),
+                        *[pa.array(m.view(np.int64)) for m in marks], pa.array(sketches.tolist(), pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "mark1", "mark2", "sketch"],
+                    names=["doc_id", "text_key", "n_shingles", "mark1", "mark2", "sketch"],
                 )
 
     rows = store.put(
-        wanted.mapInArrow(sketch, f"doc_id {kind}, n_shingles long, mark1 long, mark2 long, sketch binary"), "sketches"
+        wanted.mapInArrow(sketch, f"doc_id {kind}, text_key long, n_shingles long, mark1 long, mark2 long, sketch binary"), "sketches"
     )
     marks = ["n_shingles", "mark1", "mark2"]
-    classes = rows.where("n_shingles > 0").groupBy(*marks).agg(F.min("doc_id").alias("vertex"))
-    classes = store.put(classes.where("vertex IS NOT NULL"), "classes")
-    own = rows.select(*marks, "doc_id", "sketch").join(classes.withColumnRenamed("vertex", "doc_id"), [*marks, "doc_id"])
-    own = store.put(own.select(F.col("doc_id").alias("vertex"), "n_shingles", "sketch").dropDuplicates(["vertex"]), "vertices")
+    # A class is a set of shingles. One row shows it: that of the smallest id, and of its texts that of the smallest hash.
+    shown = F.min(F.struct("doc_id", "text_key")).alias("shown")
+    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*marks).agg(shown)
+    classes = store.put(classes.select(*marks, "shown.*", F.monotonically_increasing_id().alias("vertex")), "classes")
+    own = rows.select(*marks, "doc_id", "text_key", "sketch").join(classes, [*marks, "doc_id", "text_key"])
+    own = store.put(own.select("vertex", "n_shingles", "sketch").dropDuplicates(["vertex"]), "vertices")
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,28 +221,50 @@ def near_groups(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> Data
                 members.append(ids[start + member])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(roots)), pa.array(np.concatenate(members))], names=["a", "b"])
 
-    found = likely(wanted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("vertex"), "text"), "vertex", near)
-    texts = in_blocks(near, "component", "vertex").select("vertex", "group").join(found, "vertex")
+    key = ["doc_id", "text_key"]
+    asked = near.join(classes.select("vertex", *key), "vertex")
+    found = likely(wanted.where("doc_id IS NOT NULL"), "text_key", asked.select("text_key")).join(asked.select(*key, "vertex"), key)
+    texts = in_blocks(near, "component", "vertex").select("vertex", "group").join(found.select("vertex", "text"), "vertex")
     texts = texts.select("group", "vertex", "text").repartition(partitions, "group").sortWithinPartitions("group")
-    links = store.put(texts.mapInArrow(confirm, "a long, b long").distinct(), "links")
-    found = components(links, store, "link").withColumnRenamed("component", "smallest")
-    labels = classes.join(found, "vertex", "left").select(*marks, F.coalesce("smallest", "vertex").alias("component"))
-    labels = store.put(labels, "labels")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", *marks).join(labels, marks, "left").select(
+    members = store.put(rows.select("doc_id", *marks).join(classes.select(*marks, "vertex"), marks, "left").select("doc_id", "n_shingles", "vertex"), "members")
+    several = members.where("doc_id IS NOT NULL AND vertex IS NOT NULL").groupBy("doc_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("z"))
+    same = members.join(several.where("a < z").select("doc_id", "a"), "doc_id").select("a", F.col("vertex").alias("b")).where("a <> b")
+    links = store.put(texts.mapInArrow(confirm, "a long, b long").union(same).distinct(), "links")
+    found = components(links, store, "link")
+    named = found.join(classes.select("vertex", "doc_id"), "vertex").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    labels = store.put(found.join(named, "component").select("vertex", "smallest"), "labels")
+    held = members.join(labels, "vertex", "left").join(classes.select("vertex", F.col("doc_id").alias("first")), "vertex", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "first", "doc_id"))
+    return held.select(
         "doc_id", "n_shingles", component.alias("component_id"),
         (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"),
     )
 
 
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where `docs` has them already."""
+    return [next(x for k in range(len(docs.columns) + 1) if (x := name + "_" * k) not in docs.columns) for name in names]
+
+
 def without_near_copies(docs: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:
-    """The rows of `docs` but those of near_groups that do not stay. Other texts stay where they are."""
+    """The rows of `docs` but those of near_groups that do not stay; of rows equal in id and text one stays.
+
+    Other texts stay where they are, and so do all rows without id.
+    """
     store = Store(docs.sparkSession, "unique")
-    gone = near_groups(docs, threshold, words).where("NOT kept").select(F.col("doc_id").cast("long").alias("_gone")).distinct()
-    gone = store.put(gone, "gone")
-    rows = marked(docs.withColumn("_gone", F.col("doc_id").cast("long")), "_gone", gone, "_maybe")
-    rest = rows.where("_maybe").join(gone, "_gone", "left_anti")
-    return rows.where("NOT _maybe").select(*docs.columns).union(rest.select(*docs.columns))
+    gone, row, maybe = spare(docs, "_gone", "_row", "_maybe")
+    lost = near_groups(docs, threshold, words).where("NOT kept").select("doc_id").distinct()
+    lost = store.put(lost.withColumn(gone, F.xxhash64("doc_id")), "gone")
+    keyed = docs.withColumns({gone: F.xxhash64("doc_id"), row: F.xxhash64("doc_id", "text")})
+    again = store.put(keyed.where("doc_id IS NOT NULL").groupBy(row).count().where("count > 1").select(row), "again")
+    rows = marked(keyed, gone, lost, maybe)
+    rest = rows.where(maybe).join(lost.select("doc_id"), "doc_id", "left_anti")
+    kept = rows.where(f"NOT {maybe}").select(*keyed.columns).union(rest.select(*keyed.columns))
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    rows = marked(kept, row, again, maybe)
+    some = F.col(maybe) & F.col("doc_id").isNotNull()
+    return rows.where(~some).select(*docs.columns).union(rows.where(some).dropDuplicates(["doc_id", "text"]).select(*docs.columns))
 
 
 SMALL = 24

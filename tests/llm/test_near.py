@@ -67,6 +67,29 @@ def test_near_groups_of_odd_rows(spark, odd, none):
     assert sketching.without_near_copies(odd).columns == odd.columns
 
 
+def test_an_id_with_two_texts_links_by_both(spark):
+    pick = random.Random(8)
+    one, two = " ".join(f"a{pick.randrange(900)}" for _ in range(60)), " ".join(f"b{pick.randrange(900)}" for _ in range(60))
+    rows = [(7, one), (7, two), (2, one + " tail"), (3, two + " tail"), (9, "nothing like it at all in here"), (4, one), (4, one)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sketching.near_groups(frame).collect()
+    assert len(found) == 7 and {(r.doc_id, r.component_id, r.kept) for r in found} == {(7, 2, False), (2, 2, True), (3, 2, False), (9, 9, True), (4, 2, False)}
+    named = frame.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert {(r.doc_id, r.component_id) for r in sketching.near_groups(named).collect()} == {("d7", "d2"), ("d2", "d2"), ("d3", "d2"), ("d9", "d9"), ("d4", "d2")}
+    assert sorted(r.doc_id for r in sketching.without_near_copies(named).collect()) == ["d2", "d9"]
+
+
+def test_repeated_rows_leave_and_names_may_clash(spark):
+    pick = random.Random(9)
+    text = " ".join(f"a{pick.randrange(900)}" for _ in range(60))
+    rows = [(1, text), (1, text), (1, text), (5, text + " x"), (6, "short one"), (6, "short one"), (6, "another"), (None, "short one"), (None, "short one"), (8, None), (8, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"_maybe": F.lit(1), "_gone": F.lit("g"), "_row": F.lit(2.5)})
+    rest = sketching.without_near_copies(frame)
+    assert rest.columns == frame.columns
+    assert sorted(((r.doc_id, r.text, r._maybe) for r in rest.collect()), key=str) == sorted(
+        [(1, text, 1), (6, "another", 1), (6, "short one", 1), (None, "short one", 1), (None, "short one", 1), (8, None, 1)], key=str)
+
+
 def test_registers_merge_and_estimate():
     random_ = np.random.default_rng(1)
     a, b = (random_.integers(0, 2**63, 4000).astype(np.uint64) for _ in range(2))
