@@ -44,6 +44,7 @@ class Written:
 
     schema: str
     key: str
+    buckets: int
     files: dict[str, list[str]]
     whole: bool = False
 
@@ -63,8 +64,12 @@ class Change:
         Only the buckets of those keys are read and written. `row_id` tells the rows of one key apart, so that a
         key which owns most of a bucket is matched in parts. Rows without a key are keyed by null like any other.
         """
+        known = self.base["tables"].get(name, {})
+        if known.get("key", key) != key:
+            raise ValueError(f"{name} is kept by {known['key']}, not by {key}")
+        n = known.get("buckets", self.tables.buckets)  # a table keeps the number it was made with
         keys = touched.select(key).unionByName(rows.select(key)).distinct()
-        buckets = sorted(r[0] for r in keys.select(self.tables.bucket(key)).distinct().collect())  # at most `buckets` numbers
+        buckets = sorted(r[0] for r in keys.select(self.tables.bucket(key, n)).distinct().collect())  # at most n numbers
         old = self.tables._read(self.base, name, buckets)
         if old is not None:
             gone = keys.where(f"`{key}` IS NOT NULL").withColumn("_gone", F.lit(True))
@@ -72,12 +77,12 @@ class Change:
             if not keys.where(f"`{key}` IS NULL").isEmpty():
                 held = held.where(f"`{key}` IS NOT NULL")
             rows = held.unionByName(rows, allowMissingColumns=True)
-        self.done[name] = self.tables._write(name, rows, key, buckets)
+        self.done[name] = self.tables._write(name, rows, key, n, buckets)
 
     def overwrite(self, name: str, rows: DataFrame, key: str) -> None:
         """The table becomes `rows`."""
-        done = self.tables._write(name, rows, key, [])
-        self.done[name] = Written(done.schema, key, done.files, whole=True)
+        self.done[name] = self.tables._write(name, rows, key, self.tables.buckets, [])
+        self.done[name].whole = True
 
     def commit(self, note: str = "") -> int:
         return self.tables._commit(self, note)
@@ -134,7 +139,7 @@ class Tables:
         key = state["tables"][name]["key"]
         kind = T.StructType.fromJson(json.loads(state["tables"][name]["schema"]))[key].dataType
         asked = self.spark.createDataFrame([(k,) for k in keys], T.StructType([T.StructField(key, kind)]))
-        found = sorted(r[0] for r in asked.select(self.bucket(key)).distinct().collect())
+        found = sorted(r[0] for r in asked.select(self.bucket(key, state["tables"][name]["buckets"])).distinct().collect())
         return self._read(state, name, found).join(F.broadcast(asked.distinct()), key, "left_semi")
 
     def _read(self, state: dict, name: str, buckets: Iterable[int] | None = None) -> DataFrame | None:
@@ -165,17 +170,17 @@ class Tables:
                     raise
         raise ValueError("no try asked for")
 
-    def bucket(self, key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int").alias(BUCKET)
+    def bucket(self, key: str, n: int | None = None) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n or self.buckets)).cast("int").alias(BUCKET)
 
-    def _write(self, name: str, rows: DataFrame, key: str, buckets: list[int]) -> Written:
+    def _write(self, name: str, rows: DataFrame, key: str, n: int, buckets: list[int]) -> Written:
         folder = f"{name}-{uuid.uuid4().hex}"
         # A bucket is one task's files, and a large one several: the rebalance splits what is skewed.
-        placed = rows.withColumn(BUCKET, self.bucket(key)).hint("rebalance", BUCKET)
+        placed = rows.withColumn(BUCKET, self.bucket(key, n)).hint("rebalance", BUCKET)
         placed.write.partitionBy(BUCKET).parquet(f"{self.root}/data/{folder}")
         made = [n for n in self._names(f"data/{folder}") if n.startswith(f"{BUCKET}=")]
         files = {str(b): [] for b in buckets} | {n.split("=")[1]: [f"{folder}/{n}"] for n in made}
-        return Written(rows.schema.json(), key, files)
+        return Written(rows.schema.json(), key, n, files)
 
     def _commit(self, change: Change, note: str) -> int:
         number = change.base["version"] + 1
@@ -188,12 +193,13 @@ class Tables:
             for name, done in change.done.items():
                 old = {} if done.whole else base["tables"].get(name, {}).get("files", {})
                 files = {b: f for b, f in (old | done.files).items() if f}
-                entry["tables"][name] = {"schema": done.schema, "key": done.key, "buckets": self.buckets, "files": files}
+                entry["tables"][name] = {"schema": done.schema, "key": done.key, "buckets": done.buckets, "files": files}
             if self._publish(number, entry):
                 return number
             other = self.state(number)  # another writer was first
             for name, done in change.done.items():
-                whole = done.whole or base["tables"].get(name, {}).get("schema") != other["tables"].get(name, {}).get("schema")
+                mine, theirs = (x["tables"].get(name, {}) for x in (base, other))
+                whole = done.whole or (mine.get("schema"), mine.get("buckets")) != (theirs.get("schema"), theirs.get("buckets"))
                 if name in other["changed"] and (whole or set(other["changed"][name]) & set(done.files)):
                     raise Conflict(f"version {number} has changed the same rows of {name}")
             number += 1

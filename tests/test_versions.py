@@ -55,6 +55,18 @@ def test_a_change_touches_its_buckets_only(spark):
     assert tables.at(0) == 0 and tables.at(4e9) == 3
 
 
+def test_a_table_keeps_its_buckets_and_key(spark):
+    folder = f"{tempfile.mkdtemp()}/t"
+    first = Tables(spark, folder, 8)
+    first.replace_in("a", rows(spark, *((f"k{i}", i) for i in range(30))), rows(spark), "k", ["n"])
+    other = Tables(spark, folder, 3)
+    other.replace_in("a", rows(spark, ("k5", 500)), rows(spark, ("k6", 0)), "k", ["n"])
+    assert dict(content(first.read("a"))) == {f"k{i}": i for i in range(30) if i != 6} | {"k5": 500}
+    assert content(other.read("a", keys=["k5", "k6", "k9"])) == [("k5", 500), ("k9", 9)]
+    with pytest.raises(ValueError):
+        other.change().replace("a", rows(spark, ("k5", 1)), rows(spark), "n", ["k"])
+
+
 def test_columns_added_later_are_null_before(spark):
     tables = Tables(spark, f"{tempfile.mkdtemp()}/t", 4)
     change = tables.change()
@@ -189,6 +201,14 @@ def test_other_dimension_and_wipe(spark):
     assert {r.source for r in sink.points().collect()} == {"c.txt"}
 
 
+def test_a_new_copy_with_a_shorter_name_is_one_record(spark):
+    sink = Versioned(spark, f"{tempfile.mkdtemp()}/store")
+    ingest.run_into(sink, corpus(spark, long_name_txt=LONG))
+    state = ingest.run_into(sink, corpus(spark, long_name_txt=LONG, a_txt=LONG))[1]
+    assert sorted((r.filename, r.status, r.duplicate_of) for r in state.collect()) == [("a.txt", "ok", None), ("long.name.txt", "duplicate", "a.txt")]
+    assert {r.source for r in sink.points().collect()} == {"a.txt"}
+
+
 def test_warnings_reach_the_state(spark):
     sink = Versioned(spark, f"{tempfile.mkdtemp()}/store")
 
