@@ -70,10 +70,11 @@ def marked(rows: DataFrame, key: str, wanted: DataFrame, name: str, bits: int =
     """
     mixed = f"xxhash64(20, `{key}`)"
     word = F.expr(f"shiftrightunsigned({mixed}, {64 - bits})")
-    bitmap = wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({mixed} & 63 AS INT))")).alias("_bits"))
-    held = rows.withColumn("_at", word).join(F.broadcast(bitmap), F.col("_at") == F.col("_word"), "left")
-    there = F.expr(f"coalesce((shiftrightunsigned(_bits, cast({mixed} & 63 AS INT)) & 1) = 1, false)")
-    return held.select(*rows.columns, there.alias(name))
+    at, own, held = (f"_{x}_{uuid.uuid4().hex}" for x in ("at", "word", "bits"))
+    bitmap = wanted.groupBy(word.alias(own)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({mixed} & 63 AS INT))")).alias(held))
+    found = rows.withColumn(at, word).join(F.broadcast(bitmap), F.col(at) == F.col(own), "left")
+    there = F.expr(f"coalesce((shiftrightunsigned({held}, cast({mixed} & 63 AS INT)) & 1) = 1, false)")
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], there.alias(name))
 
 
 def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:

@@ -175,15 +175,16 @@ def test_banded_distance_and_segments():
         assert lines.within(left, right, most).tolist() == near
         for a, b, close in zip(left, right, near):
             if close and a != b and min(len(a), len(b)) > 2 * most + 2:
-                row, key = lines.keys_of([a, b], most)
+                row, key = lines.keys_of([a, b], most, 0.5)
                 assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
 
 
 def test_near_lines(spark, odd, none):
     pick = random.Random(9)
     stock = ["".join(pick.choice("abcdefgh ") for _ in range(30)).strip().ljust(24, "x") for _ in range(12)]
+    stock += ["".join(pick.choice("abcdefghijklmno") for _ in range(n)) for n in (4, 8, 9, 10, 11, 12, 15, 18, 19, 20, 21, 23)]
     docs = []
-    for i in range(40):
+    for i in range(80):
         held = [edited(pick, pick.choice(stock), pick.randrange(3)) if pick.random() < 0.8 else pick.choice(["", " ", "ab", "abc"]) for _ in range(5)]
         docs.append((i, "\n".join(held)))
     every = sorted({line for _, t in docs for line in t.split("\n")})
@@ -191,7 +192,7 @@ def test_near_lines(spark, odd, none):
     root = lambda x: x if label[x] == x else root(label[x])
     for a in every:
         for b in every:
-            if a < b and min(len(a), len(b)) >= 24 and distance(a, b) <= 2:
+            if a < b and a.strip() and b.strip() and distance(a, b) <= min(2, min(len(a), len(b)) // 10):
                 label[root(b)] = root(a)
     seen, expected = set(), {}
     for i, t in docs:
@@ -205,10 +206,31 @@ def test_near_lines(spark, odd, none):
         expected[i] = "\n".join(kept)
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("place", F.lit(1))
     rows = lines.near_lines(frame).collect()
-    assert {r.doc_id: r.text for r in rows} == expected and len(rows) == 40
+    assert {r.doc_id: r.text for r in rows} == expected and len(rows) == 80
     assert all(r.removed_lines == dict(docs)[r.doc_id].count("\n") - r.text.count("\n") or not r.text for r in rows)
     found = lines.near_lines(odd)
     assert found.columns == [*odd.columns, "removed_lines"] and found.count() == odd.count()
     texts = {r.doc_id: r.text for r in found.where("doc_id in (1, 2, 3, 4, 5, 9)").collect()}
     assert texts == {1: "the cat sat on the mat and ran", 2: None, 3: "", 4: " \n\t ", 5: "", 9: ""}
     assert lines.near_lines(none).collect() == []
+
+
+def test_very_long_lines_and_clashing_names(spark):
+    pick = random.Random(3)
+    long = "".join(pick.choice("abcdefgh ") for _ in range(1_000_000))
+    middle = long[:500_000] + "#" + long[500_001:]
+    docs = [(1, "a\n" + long, 9), (2, middle + "\nb", 9), (3, long[:-3] + "\nc", 9), (4, "d", 9)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, removed_lines int")
+    frame = frame.withColumns({"_lost": F.lit("l"), "_touched": F.lit(2), "_lost_key": F.lit(1.5), "_at": F.lit(7), "_word": F.lit(8)})
+    found = lines.near_lines(frame)
+    assert sorted(found.columns) == sorted(frame.columns)
+    rows = {r.doc_id: r for r in found.collect()}
+    assert [rows[i].removed_lines for i in (1, 2, 3, 4)] == [0, 1, 0, 0] and rows[2].text == "b"
+    assert {(r._lost, r._touched, r._lost_key, r._at, r._word) for r in rows.values()} == {("l", 2, 1.5, 7, 8)}
+
+
+def test_common_lines_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HEAVY", 3)
+    docs = [(i, f"the same common line of many documents\nown line {i * 7919} {i * 104729} {i}") for i in range(50)]
+    rows = {r.doc_id: r for r in lines.near_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [rows[i].removed_lines for i in range(50)] == [0] + [1] * 49
