@@ -80,6 +80,32 @@ def test_mix(spark, odd, none):
     assert mixing.mixture(odd).columns == odd.columns
 
 
+def test_inclusion_follows_size(spark):
+    """Certain beyond a size, in proportion below, and the expected words are the rest of the target."""
+    sizes = [3] * 400 + [10] * 200 + [50] * 20 + [2000]
+    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(9000 + i, "w " * 400, "b") for i in range(20)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs, weights=(3, 7)).collect()
+    target = next(r.target for r in rows if r.source == "a")
+    rest, own = target, sorted(sizes, reverse=True)
+    assert target < sum(sizes)
+    certain = 0
+    while (rest - sum(own[:certain])) / sum(s * s for s in own[certain:]) * own[certain] >= 1:
+        certain += 1
+    slope = (rest - sum(own[:certain])) / sum(s * s for s in own[certain:])
+    got = {n: [r.copies for r in rows if r.source == "a" and r.size == n] for n in set(sizes)}
+    assert certain == 21 and set(got[2000] + got[50]) == {1}
+    for n in (3, 10):
+        assert abs(np.mean(got[n]) - slope * n) < 4 * (slope * n * (1 - slope * n) / len(got[n])) ** 0.5 + 0.01
+    assert abs(sum(r.taken for r in rows if r.source == "a") - target) <= 25
+
+
+def test_repeated_rows_share_one_fate(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x")] * 500 + [(i, "d e f g", "x") for i in range(2, 900)] + [(None, None, "y"), (None, "h", "y")], "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 1400 and len({r.copies for r in rows if r.doc_id == 1}) == 1
+    assert {r.taken for r in rows if r.size == 0} == {0}
+
+
 def test_packing_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
 
