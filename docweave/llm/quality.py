@@ -26,7 +26,7 @@ BUCKET_BITS = 16
 TOXIC_BITS = 20  # more, as a single n-gram that shares a bucket would reject its document
 SAMPLE = 20_000  # labelled rows that the models are fitted on, at most
 PRIOR = 5.0
-TEMPERATURE = 0.02
+TEMPERATURE = 1.0  # of the Gumbel numbers: 1 draws with probabilities in proportion to the importance
 KIND = np.ones(256, np.uint8)  # 0 space, 1 letters and digits, 2 other signs
 KIND[SPACE] = 0
 KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = 2

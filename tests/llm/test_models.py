@@ -145,6 +145,42 @@ def test_classifier(spark, odd, none):
     assert found.columns == [*odd.columns, "log_ratio", "kept"] and found.count() == odd.count()
 
 
+def test_classifier_by_plain_python(spark):
+    """Ratios from counts of words and neighbouring words; the drawn rows are those of the largest noisy ratios."""
+    pick = random.Random(12)
+    docs = [(i, " ".join(pick.choice(["tree", "lake", "walks"] + ["spam", "buy"] * (i % 3 == 0)) for _ in range(pick.randrange(0, 30)))) for i in range(200)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(0, 200, 2)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = quality.classify(frame, known).select("*", quality.gumbel().alias("noise")).collect()
+    fits = {r.doc_id: r.fit for r in known.select("doc_id", (F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(5)) > 0).alias("fit")).collect()}
+    grams = lambda t: [(w,) for w in t.split()] + list(zip(t.split(), t.split()[1:]))
+    raw = collections.Counter(g for _, t in docs for g in grams(t))
+    target = collections.Counter(g for i, t in docs if i % 2 == 0 and i % 3 > 0 and fits[i] for g in grams(t))
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    expected = {g: n * n_target / n_raw for g, n in raw.items()}
+    smooth = {g: (target[g] + quality.PRIOR) / (expected[g] + quality.PRIOR) for g in raw}
+    norm = sum(raw[g] / n_raw * smooth[g] for g in raw)
+    ratio = {i: sum(math.log(smooth[g] / norm) for g in grams(t)) for i, t in docs}
+    assert len(rows) == 200 and all(abs(r.log_ratio - ratio[r.doc_id]) < 1e-6 for r in rows)
+    held = [i for i, _, _ in labels if not fits[i]]
+    cut = quality.best_cut(np.array([ratio[i] for i in held]), np.array([i % 3 > 0 for i in held]))
+    k = sum(x >= cut for x in ratio.values())
+    order = sorted(rows, key=lambda r: -(r.log_ratio + quality.TEMPERATURE * r.noise))
+    assert {r.doc_id for r in rows if r.kept} == {r.doc_id for r in order[:k]} and 0 < k < 200
+
+
+def test_kept_share_falls_with_the_ratio(spark):
+    """Texts of a few words differ by few units: the draw takes more of the better ones, but not only those."""
+    pick = random.Random(5)
+    docs = [(i, " ".join(pick.choice(["oak", "elm", "ash"] if pick.random() < (0.35 if i % 2 else 0.65) else ["bad", "ill", "low"]) for _ in range(4))) for i in range(4000)]
+    labels = [(i, i % 2 ^ 1, 0) for i in range(4000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = sorted(quality.classify(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect(), key=lambda r: r.log_ratio)
+    shares = [np.mean([r.kept for r in rows[k : k + 1000]]) for k in range(0, 4000, 1000)]
+    assert shares == sorted(shares) and shares[0] < shares[3] and sum(0.02 < x < 0.98 for x in shares) >= 2
+
+
 def test_toxic_documents_go(spark):
     pick = random.Random(4)
     docs, labels = [], []
