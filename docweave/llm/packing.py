@@ -24,6 +24,7 @@ from docweave.llm.shared import Store, chunks
 
 LENGTH = 1024
 END = 0
+MOST_PARTS = 1 << 20  # partitions whose places are sent to all tasks; beyond, the ids move to them
 
 
 @functools.lru_cache(maxsize=4)
@@ -82,6 +83,9 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, with_ids: boo
     totals = rows.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    bases = store.put(bases, "bases")
+    if bases.count() <= MOST_PARTS:  # 12 bytes a partition, so that no ids are moved
+        bases = F.broadcast(bases)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

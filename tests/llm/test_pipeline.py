@@ -33,7 +33,7 @@ def test_stages(spark):
 
 
 def test_queries_have_rows(spark):
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 10
+    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 13
     from compare import compare
 
     for name in ORACLES:
