@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docweave.operators import chunking, dedup, embedding, history, search, skew, store
@@ -131,6 +132,40 @@ def test_top_k_both_forms_equal_brute_force(spark):
             assert sorted((r.qid, r.id, r["rank"], r.score) for r in found) == sorted(expected)
 
 
+def test_best_k_of_blocks_equals_brute_force(monkeypatch):
+    """Ties, zero and unsound vectors, floors and sources over many small blocks; few pairs are scored in double precision."""
+    for name, value in (("BLOCK_QUESTIONS", 4), ("BLOCK_PAIRS", 3), ("HELD_IDS", 5)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(6)
+    vectors, asked = (rng.integers(-1, 2, size=(n, 5)).astype(float) for n in (700, 30))
+    vectors[11, 2] = np.nan
+    norms = [np.linalg.norm(m, axis=1, keepdims=True) for m in (vectors, asked)]
+    vectors, asked = (np.divide(m, n, out=np.zeros_like(m), where=n > 0) for m, n in zip((vectors, asked), norms))
+    vectors[11] = np.nan
+    of, allowed = [f"s{i % 3}" for i in range(700)], [None if q % 2 else "s1" for q in range(30)]
+    scores = np.rint(asked @ vectors.T * search.SCALE)
+    for floor in (0.0, 0.7):
+        running = search._Running(asked, allowed, 9, floor)
+        for at in range(0, 700, 50):
+            running.add(vectors[at : at + 50], pa.array(range(at, at + 50)), of[at : at + 50])
+        found = pa.Table.from_batches(running.rows(list(range(30)), pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])))
+        expected = []
+        for q in range(30):
+            usable = [i for i in range(700) if i != 11 and (q % 2 or i % 3 == 1) and (not floor or scores[q, i] >= floor * search.SCALE)]
+            expected += [(q, i) for i in sorted(usable, key=lambda i: (-scores[q, i], i))[:9]]
+        assert sorted(zip(found["qid"].to_pylist(), found["id"].to_pylist())) == sorted(expected)
+
+
+def test_large_batch_is_searched_once(spark, monkeypatch):
+    """The join of the payload reads the results of the search twice; the search itself is not in its plan."""
+    monkeypatch.setattr(search, "SENT_ROWS", 0)
+    corpus = spark.range(50).select("id", F.array(F.lit(1.0), F.col("id") % 7.0).alias("vector"), F.lit("x").alias("text"))
+    asked = spark.range(5000).select(F.col("id").alias("qid"), F.array(F.lit(1.0), F.col("id") % 5.0).alias("vector"))
+    found = search.search(asked, corpus, 2, 3, sent_values=0)
+    assert found.count() == 15_000
+    assert "InArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_embedding_each_text_once(spark):
     rows = [(i, "hot text" if i % 3 == 0 else f"text {i % 50}") for i in range(400)]
     texts = spark.createDataFrame(rows, "id bigint, text string")
