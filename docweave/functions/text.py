@@ -53,14 +53,18 @@ def lines(text: Column) -> Column:
     )
 
 
+def _folded(text: str | None) -> str | None:
+    return text and normalize_form("NFKC", text)
+
+
 @F.arrow_udf(T.StringType())
 def _fold_text(values: pa.Array) -> pa.Array:
-    return pa.array([t and normalize_form("NFKC", t) for t in values.to_pylist()], pa.string())
+    return pa.array((_folded(t.as_py()) for t in values), pa.string())
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _fold_texts(values: pa.Array) -> pa.Array:
-    rows = [row and [t and normalize_form("NFKC", t) for t in row] for row in values.to_pylist()]
+    rows = (row and [_folded(t) for t in row] for row in (v.as_py() for v in values))
     return pa.array(rows, pa.list_(pa.string()))
 
 

@@ -72,7 +72,7 @@ def split_recursive(text: str, size: int, overlap: int, level: int = 0) -> list[
 def recursive_chunks(text: Column, size: int, overlap: int) -> Column:
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def split(texts: pa.Array) -> pa.Array:
-        rows = [None if t is None else split_recursive(t, size, overlap) for t in texts.to_pylist()]
+        rows = (None if t is None else split_recursive(t, size, overlap) for t in (v.as_py() for v in texts))
         return pa.array(rows, pa.list_(pa.string()))
 
     return split(text)
@@ -197,7 +197,7 @@ def positions(full: Column, chunks: Column, overlap: int) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def find(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        rows = [locate(text, parts or (), overlap) for text, parts in zip(texts.to_pylist(), lists.to_pylist())]
+        rows = (locate(text.as_py(), parts.as_py() or (), overlap) for text, parts in zip(texts, lists))
         return pa.array(rows, pa.list_(pa.int32()))
 
     return find(full, chunks)
@@ -222,7 +222,7 @@ def _with_recursive(docs: DataFrame, size: int, overlap: int, splitter: Splitter
 
     def split(batches):
         for batch in batches:
-            rows = [attempt(text) for text in batch.column("_full").to_pylist()]
+            rows = (attempt(text.as_py()) for text in batch.column("_full"))
             yield batch.append_column("_recursive", pa.array(rows, pa.list_(pa.string())))
 
     return joined.mapInArrow(split, schema)

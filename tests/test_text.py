@@ -2,9 +2,10 @@ import random
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docweave.functions import parsing
+from docweave.functions import parsing, vectors
 from docweave.functions import text as tx
 
 
@@ -120,3 +121,31 @@ def test_clarifier_and_care_replies(spark):
                     parsing.care_level(F.col("t")).alias("p"))
     assert [(r.p.answer, r.p.level) for r in levels] == [
         ("x", "vet_now"), ("x\ny", "info"), ("x", "vet_soon"), ("x", "vet_soon"), ("", "vet_soon")]
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """Python workers get texts in batches bounded by bytes; a limit that is given stays."""
+    from docweave import session
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    texts = spark.range(3000).coalesce(1).select(F.repeat(F.lit("long text "), F.lit(1000)).alias("text"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    session.ship(spark)
+    assert texts.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= 8 << 20  # 30 MB in all
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000000")
+    session.ship(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1000000"
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    session.ship(spark)
+
+
+def test_vectors_of_many_texts(spark):
+    """Texts counted slice by slice give the vectors that each gives alone."""
+    texts = [None if i % 97 == 0 else "" if i % 89 == 0 else f"word {i % 50} and {i}" for i in range(2500)]
+    found = vectors.embed.func(pa.array(texts, pa.string()))
+    assert len(found) == 2500
+    for i in (0, 89, 1023, 1024, 2048, 2499):
+        assert found[i].as_py() == vectors.embed.func(pa.array([texts[i]], pa.string()))[0].as_py()
