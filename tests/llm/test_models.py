@@ -109,6 +109,24 @@ def test_score_is_the_chain_rule_sum(spark):
     assert both[100].score < both[1].score < 0 and both[100].n_tokens == 13
 
 
+def test_equal_windows_score_equal_in_any_company():
+    """Bit for bit, whatever the number of windows in a batch and the place of the window in it."""
+    random = np.random.default_rng(4)
+    weights = attention.fresh()
+    for k in ("class", "member"):
+        weights[k] = random.standard_normal(weights[k].shape).astype(np.float32)
+    counts = attention.direct(random.integers(0, 3, (attention.TOKENS, attention.TOKENS)))
+    one = random.integers(0, attention.TOKENS, attention.WINDOW + 1)
+    found = set()
+    for n in (1, 2, 3, 5, 17, 100, 255, 256):
+        held = random.integers(0, attention.TOKENS, (n, attention.WINDOW + 1))
+        wanted = random.random((n, attention.WINDOW)) < 0.8
+        at = random.integers(n)
+        held[at], wanted[at] = one, True
+        found.add(attention.log_chances(weights, counts, held[:, :-1], held[:, 1:], wanted)[at].tobytes())
+    assert len(found) == 1
+
+
 def test_all_windows_are_learned_from(spark):
     ids = spark.range(9000).select(F.xxhash64("id").alias("row_key"), F.unhex(F.lit("05000600")).alias("ids"))
     long = spark.range(1).select(F.lit(1).cast("long").alias("row_key"), F.unhex(F.repeat(F.lit("0700"), F.lit(3199))).alias("ids"))
