@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from unicodedata import normalize as normalize_form
 
 import pyarrow as pa
@@ -18,6 +19,7 @@ BLANKS = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )  # the same, character by character
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+OTHER_LINE_END = r"[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 HYPHEN_BREAK = r"(?U)([a-z])-\s*\n\s*([a-z])"
 SOFT_WRAP = r"(?<![.!?:;\)\]])\n(?=[a-z(])"
@@ -79,12 +81,17 @@ def nfkc_each(texts: Column) -> Column:
     return F.coalesce(_fold_texts(F.when(changing, texts)), texts)
 
 
+def _where(text: Column, needed: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """change(text) where `needed`, a cheap test that holds for every text that would change; else the text."""
+    return let(text, lambda t: F.when(needed(t), change(t)).otherwise(t))
+
+
 def drop_control(text: Column) -> Column:
     return F.regexp_replace(text, CONTROL, "")
 
 
 def join_hyphenated(text: Column) -> Column:
-    return F.regexp_replace(text, HYPHEN_BREAK, "$1$2")
+    return _where(text, lambda t: t.contains("-"), lambda t: F.regexp_replace(t, HYPHEN_BREAK, "$1$2"))
 
 
 def join_wrapped(text: Column) -> Column:
@@ -92,16 +99,17 @@ def join_wrapped(text: Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE_RUN, " ")
+    paired = lambda t: t.contains("  ") | t.contains("\t") | t.contains("\xa0")
+    return _where(text, paired, lambda t: F.regexp_replace(t, SPACE_RUN, " "))
 
 
 def collapse_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, NEWLINE_RUN, "\n\n")
+    return _where(text, lambda t: t.contains("\n\n\n"), lambda t: F.regexp_replace(t, NEWLINE_RUN, "\n\n"))
 
 
 def trim_lines(text: Column) -> Column:
     """Every line loses its trailing whitespace, the text its outer whitespace."""
-    unified = F.regexp_replace(text, LINE_END, "\n")
+    unified = _where(text, lambda t: t.rlike(OTHER_LINE_END), lambda t: F.regexp_replace(t, LINE_END, "\n"))
     return strip(F.regexp_replace(unified, r"(?U)[^\S\n]+(\n|\z)", "$1"))
 
 

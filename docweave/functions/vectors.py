@@ -43,11 +43,14 @@ def embed(texts: pa.Array) -> pa.Array:
 
 
 def _counted(texts: pa.Array) -> np.ndarray:
-    vectors = np.zeros((len(texts), DIM), dtype=np.float64)
+    buckets, sizes = [], np.zeros(len(texts), np.int64)
     for row, text in enumerate(texts):
-        found = [_bucket(word) for word in _WORD.findall((text.as_py() or "").lower())]
-        if found:
-            vectors[row] = np.bincount(found, minlength=DIM)
+        words = _WORD.findall((text.as_py() or "").lower())
+        found = list(map(_BUCKET.get, words))
+        buckets += map(_bucket, words) if None in found else found
+        sizes[row] = len(words)
+    cells = np.repeat(np.arange(len(texts)) * DIM, sizes) + np.array(buckets, np.int64)
+    vectors = np.bincount(cells, minlength=len(texts) * DIM).astype(np.float64).reshape(-1, DIM)
     norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
     return np.divide(vectors, norms, out=vectors, where=norms > 0)
 

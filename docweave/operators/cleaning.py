@@ -50,11 +50,13 @@ def remove_running_heads(docs: DataFrame, min_pages: int = MIN_PAGES, threshold:
 
     A key counts once per page. In the sorted list of all page keys a key occurs at least
     `cutoff` times exactly if some entry equals the one `cutoff - 1` places before it.
+    Shorter documents have no running heads, so their lines get no keys.
     """
+    n_pages = F.size("pages")
     keyed = docs.withColumn(
         "_pages",
         F.transform(
-            "pages",
+            F.when(n_pages >= min_pages, F.col("pages")),
             lambda p: F.struct(
                 p["number"].alias("number"),
                 p["extractor"].alias("extractor"),
@@ -70,7 +72,6 @@ def remove_running_heads(docs: DataFrame, min_pages: int = MIN_PAGES, threshold:
             F.filter(F.transform(p["lines"], lambda s: s["key"]), lambda k: k.isNotNull())
         ),
     )
-    n_pages = F.size("pages")
     sorted_keys = keyed.withColumn("_keys", F.sort_array(F.flatten(per_page))).withColumn(
         "_cutoff", F.greatest(F.lit(2), F.floor(n_pages * F.lit(float(threshold))).cast("int"))
     )

@@ -88,7 +88,7 @@ def run_into(
 ) -> tuple[int, DataFrame]:
     """Ingests (filename, content) rows; returns the exit code and the new state table.
 
-    Stages that several later steps read are written once: the loaded and cleaned documents, the chunks, and the points.
+    Stages that several later steps read are written once: the loaded and cleaned documents, the chunks, and their vectors.
     A file that cannot be loaded, chunked or embedded is a record with an error; the others go on, and what the table
     held of it before stays. `cache` holds known vectors by key: a table, or the name of one in a versioned sink, to
     which the new vectors are then committed. Points and state are saved last, by one call of the sink.
@@ -185,7 +185,7 @@ def _embedded(chunked, sink, backend, cache) -> tuple[DataFrame, DataFrame]:
     counted = written(counted.withColumnRenamed("source", "filename"), "vectors")
     lost = counted.where("lost > 0")
     whole = keep_only(embedded.withColumnRenamed("source", "filename"), counted.where("lost = 0"), lost, "filename")
-    return written(store.to_points(whole.withColumnRenamed("filename", "source")).drop("key"), "points"), lost
+    return store.to_points(whole.withColumnRenamed("filename", "source")).drop("key"), lost
 
 
 def _cleaned(loaded: DataFrame) -> DataFrame:

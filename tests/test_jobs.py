@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from docweave.config import Settings, effective_overlap
 from docweave.functions.ids import POINT_NAMESPACE, point_id
 from docweave.functions.vectors import embed
-from docweave.operators import embedding, language, manifest, ranking
+from docweave.operators import cleaning, embedding, language, manifest, ranking
 from docweave.plans import ingest
 from docweave.plans.answer import answer
 from docweave.plans.hooks import Hooks
+from docweave.session import written
 from docweave.sources import files, html, json_state, office, tiers
 from docweave.streaming import folds
 
@@ -109,6 +110,24 @@ def test_names_below_the_folder_and_malformed_pages(spark):
     assert [r.filename for r in files.discover(spark, f"{folder}/x/index.txt").collect()] == ["index.txt"]
 
 
+def test_short_documents_get_no_line_keys(spark, monkeypatch):
+    """Running heads need MIN_PAGES pages; fewer cost no work by the line. Points are written to their table alone."""
+    monkeypatch.setattr(cleaning.tx, "line_key", lambda line: F.raise_error(line).cast("string"))
+    pages = F.expr("transform(sequence(1, n), i -> struct(i AS number, concat('head\n', i) AS text, 'x' AS extractor))")
+    docs = spark.createDataFrame([(1,), (4,), (5,)], "n int").withColumn("pages", pages)
+    short = cleaning.remove_running_heads(docs.where("n < 5")).collect()
+    assert [len(r.pages) for r in short] == [1, 4] and all(p.text == f"head\n{p.number}" for r in short for p in r.pages)
+    monkeypatch.undo()
+    assert [p.text for p in cleaning.remove_running_heads(docs.where("n = 5")).first().pages] == [""] * 5
+
+    names = []
+    monkeypatch.setattr(ingest, "written", lambda df, name, by=None: names.append(name) or written(df, name, by))
+    base = tempfile.mkdtemp()
+    ingest.run(spark, corpus(spark, a_txt=LONG), f"{base}/points", f"{base}/state")
+    assert "embedded" in names and "points" not in names
+    assert spark.read.parquet(f"{base}/points").where("size(vector) = 256").count() > 0
+
+
 def test_failed_reload_keeps_points(spark):
     base = tempfile.mkdtemp()
     ingest.run(spark, corpus(spark, a_txt=LONG, b_txt=LONG.replace("tick", "fly")), f"{base}/points", f"{base}/state")

@@ -2,6 +2,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -21,6 +22,30 @@ def column(spark, texts, *columns):
     return frame.select("i", "t", *columns).orderBy("i").collect()
 
 
+def test_repair_is_its_plain_patterns(spark):
+    """The tests that spare a text a pattern never spare one that the pattern changes."""
+    texts = [t.replace("b", "-") if i % 3 else t.replace("X", "\n\n\n\xa0 \u2028\x0b") for i, t in enumerate(random_texts(800, 11))]
+    trim = tx.strip(F.regexp_replace(F.regexp_replace("t", tx.LINE_END, "\n"), r"(?U)[^\S\n]+(\n|\z)", "$1"))
+    pairs = [
+        (tx.join_hyphenated, F.regexp_replace("t", tx.HYPHEN_BREAK, "$1$2")), (tx.collapse_spaces, F.regexp_replace("t", tx.SPACE_RUN, " ")),
+        (tx.collapse_newlines, F.regexp_replace("t", tx.NEWLINE_RUN, "\n\n")), (tx.trim_lines, trim),
+    ]
+    columns = [F.struct(f(F.col("t")).alias("got"), plain.alias("wanted")).alias(f"c{i}") for i, (f, plain) in enumerate(pairs)]
+    rows = column(spark, [*texts, None], *columns)
+    for i in range(len(pairs)):
+        assert all(r[f"c{i}"].got == r[f"c{i}"].wanted for r in rows)
+        assert any(r[f"c{i}"].got != r.t for r in rows if r.t)
+
+
+def test_embedding_is_its_plain_formula():
+    texts = [*random_texts(300, 5), None, "", "One one TWO größe"]
+    found = np.array(vectors._counted(pa.array(texts)))
+    for text, got in zip(texts, found):
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        wanted = np.bincount([vectors._bucket(w) for w in words], minlength=vectors.DIM).astype(float) if words else np.zeros(vectors.DIM)
+        assert (got == wanted / (np.sqrt((wanted * wanted).sum(keepdims=True)) or 1)).all()
+
+
 def test_repair_examples(spark):
     cases = {
         "treat-\nment": "treatment",
