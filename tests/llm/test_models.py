@@ -35,6 +35,32 @@ def test_gradients():
         assert abs((up - down) / (2 * step) - g[k][at]) < 1e-6
 
 
+def test_training_uses_its_arrays_again_and_is_adam():
+    """Gradients go into the arrays given, whatever these hold; a pass of training follows Adam's formula with them."""
+    random_ = np.random.default_rng(6)
+    counts = attention.direct(random_.poisson(0.01, (attention.TOKENS, attention.TOKENS)))
+    held = random_.integers(0, 500, (80, attention.WINDOW + 1))  # no member of the higher classes
+    wanted = random_.random((80, attention.WINDOW)) < 0.8
+    wanted[64:] = False  # a batch without any wanted token
+    w = attention.fresh()
+    kept = attention.flat(w).copy()
+    mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    g = {k: np.full_like(v, np.nan) for k, v in w.items()}
+    for t in range(3):
+        part, use = held[t * 32 : (t + 1) * 32], wanted[t * 32 : (t + 1) * 32]
+        found, loss = attention.gradients(w, counts, part[:, :-1], part[:, 1:], use, g)
+        again, same = attention.gradients(w, counts, part[:, :-1], part[:, 1:], use)
+        assert found is g and loss == same and all((g[k] == again[k]).all() for k in w)
+        for k in w:
+            mean[k] += 0.1 * (g[k] - mean[k])
+            square[k] += 0.01 * (g[k] ** 2 - square[k])
+            step = mean[k] / (1 - 0.9 ** (t + 1)) / (np.sqrt(square[k] / (1 - 0.99 ** (t + 1))) + 1e-8)
+            w[k] = w[k] - np.float32(0.003 * (t + 1) / 20 * (1 - 0.3 * t)) * step
+    learned = attention.train(attention.shaped(kept), counts, held, wanted)
+    assert (kept == attention.flat(attention.fresh())).all()  # weights given stay as they are
+    assert np.abs(attention.flat(learned) - attention.flat(w)).max() < 1e-5 < np.abs(attention.flat(learned) - kept).max()
+
+
 def test_probabilities_sum_to_one():
     w = attention.fresh(3)
     counts = attention.direct(np.zeros((attention.TOKENS, attention.TOKENS)))
