@@ -2,11 +2,13 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docweave.llm import lines, sketching, suffixes
+from docweave.llm import lines, sketching, spans, suffixes
 
 
 def family(pick, n, words=60):
@@ -139,6 +141,32 @@ def test_repeats_of_odd_rows(spark, odd, none):
     assert [len(r.kept) for r in rows if r.doc_id in (1, 5)] == [0, 0, 0]
 
 
+def test_portions_are_whole_groups_of_bounded_bytes():
+    sizes = [3, 1, 2, 9, 1, 1]
+    gram = np.repeat(np.arange(6), sizes)
+    table = pa.table({"gram": gram, "around": [b"x" * 10] * len(gram)})
+    found = [t.column("gram").to_pylist() for t in suffixes.portions(table, "gram", "around", 40)]
+    assert found == [[0, 0, 0, 1], [2, 2], [3] * 9, [4, 5]]
+    assert [t.num_rows for t in suffixes.portions(table, "gram", "around", 1000)] == [17]
+
+
+def test_hashes_and_comparisons_take_bounded_memory():
+    """Prefix hashes are made in place, and neighbours are compared some at a time."""
+    data = np.random.default_rng(1).integers(97, 99, 1 << 20).astype(np.uint8)
+    spans.Prefix(data)  # the powers are made once
+    at = np.arange(5000, dtype=np.int64)
+    tracemalloc.start()
+    try:
+        one = spans.Prefix(data)
+        assert tracemalloc.get_traced_memory()[1] < 18 * len(data)
+        assert one.spans(at, at + 9).tolist() == one.spans(slice(0, 5000), slice(9, 5009)).tolist()
+        tracemalloc.reset_peak()
+        assert suffixes.agrees(data, at, at, np.full(5000, 400), np.full(5000, 400))
+        assert tracemalloc.get_traced_memory()[1] < 20 * len(data)
+    finally:
+        tracemalloc.stop()
+
+
 def test_sort_falls_back_to_bytes(monkeypatch):
     """With hashes that collide all the time, neighbours show it and the bytes decide."""
     monkeypatch.setattr(suffixes.Prefix, "spans", lambda self, a, b: np.zeros(len(np.atleast_1d(a)), np.uint64))
